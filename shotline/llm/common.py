@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW = np.ones(64, np.uint64)
+_POW = np.ones(1, np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,7 +85,7 @@ def powers(n: int) -> np.ndarray:
     """The first ``n`` powers of an odd multiplier modulo 2**64."""
     global _POW
     if len(_POW) < n:
-        out = np.full(max(n, 2 * len(_POW)), np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        out = np.full(max(n, 64, 2 * len(_POW)), np.uint64(0x9E3779B97F4A7C15), np.uint64)
         out[0] = 1
         _POW = np.multiply.accumulate(out)
     return _POW
