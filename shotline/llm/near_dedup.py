@@ -3,13 +3,13 @@
 1. One pass over the texts makes each document's set of word shingles, one hash per bin of a single permutation, and
    fills empty bins from the first bin that holds a value in an order of its own for each bin (optimal densification).
 2. Documents with equal sets collapse to one node before anything is paired.
-3. Runs of bins form bands; equal bands form buckets. A bucket sends edges from a centre to its other members, so its
+3. Runs of bins form bands; equal bands form buckets. Two documents meet in the first band they share. A bucket sends edges from a centre to its other members, so its
    pairs grow with its size, not with the square. A centre has then met its whole bucket and leaves it; buckets that
    still hold members of different components go round again with more centres, until none is left. No pair that
    shares a bucket is lost, and members that are connected already are never paired.
 4. Every edge is confirmed on the full sets, and components come from alternating star contractions.
 
-Texts are shuffled once, only to fetch the sets of documents that share a bucket. Nothing is collected to the driver
+Texts are never shuffled: a second scan fetches the sets of documents that share a bucket. Nothing is collected to the driver
 but counts.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null id is linked with nothing,
@@ -22,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _ODD, cut, in_chunks, mix, stored, word_hashes
@@ -31,11 +32,13 @@ WIDTH = 5  # words in a shingle
 BANDS, ROWS = 32, 8  # at similarity 0.85, one pair in 25,000 shares no bucket
 BINS = BANDS * ROWS
 FIRST_CENTRES, MORE_CENTRES = 1, 4
+FILTER_BITS = 29  # at most 64 MB of bitmap
+ALIKE = 0.11  # how far the share of equal hash bytes may lie under the similarity asked for; five standard deviations
 
 _order = np.random.default_rng(7)
 _PROBE = np.stack([_order.permutation(BINS) for _ in range(BINS)]).astype(np.int16)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 8)
-_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_SALT = mix(np.arange(1, 3, dtype=np.uint64))
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -59,7 +62,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
 
 
 def bands_of(found: np.ndarray) -> np.ndarray:
-    """Band keys of a non-empty sorted set: one-permutation hashes, densified, combined by runs."""
+    """A long for each band of a non-empty sorted set: the last bytes of its one-permutation hashes, densified."""
     at = np.searchsorted(found, _EDGES)
     full = np.append(at[1:], len(found)) > at
     value = found[np.minimum(at, len(found) - 1)]
@@ -67,7 +70,7 @@ def bands_of(found: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~full)
         probes = _PROBE[empty]
         value[empty] = value[probes[np.arange(len(empty)), full[probes].argmax(axis=1)]]
-    return mix((value.reshape(BANDS, ROWS) * _ODD[16 : 16 + ROWS]).sum(axis=1, dtype=np.uint64) ^ _SALT)
+    return value.astype(np.uint8).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,19 +82,44 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 one.append(int(mix(s ^ _SALT[0]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
                 two.append(int(mix(s ^ _SALT[1]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
-                bands.append(bands_of(s).view(np.int64) if len(s) else None)
+                bands.append(bands_of(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["id", "n_shingles", "h1", "h2", "bands"],
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for begin, end in in_chunks(texts, lambda t: len(t or "")):
-            sets = [s.view(np.int64) for s in shingle_sets(texts[begin:end])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+def _sets(wanted: Broadcast):
+    """The sets of documents whose bit is set; columns: node, bit, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            at = batch.column(1).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            texts = batch.column(2).to_pylist()
+            for begin, end in in_chunks(texts, lambda t: len(t or "")):
+                sets = [s.view(np.int64) for s in shingle_sets(texts[begin:end])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def _wanted_sets(narrow: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, shingles) of at least the documents in ``need``.
+
+    A bitmap of hashed ids, 16 bits for each up to ``FILTER_BITS`` in all, lets a scan of the texts pass over nearly
+    all others without moving a text. Its size has a fixed bound; a fuller bitmap only lets more sets through.
+    """
+    n_bits = 1 << min(max(16 * need.count(), 1 << 16).bit_length(), FILTER_BITS)
+    bit = F.pmod(F.xxhash64("node"), F.lit(n_bits))
+    bits = np.zeros(n_bits >> 3, np.uint8)
+    words = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("value"))
+    found = words.toArrow()
+    bits.view(np.uint32)[found["word"].to_numpy()] = found["value"].to_numpy().astype(np.uint32)
+    wanted = narrow.sparkSession.sparkContext.broadcast(bits.tobytes())
+    rows = narrow.filter("id IS NOT NULL").select(F.col("id").alias("node"), "text").select("node", bit.alias("bit"), "text")
+    return rows.mapInArrow(_sets(wanted), "node long, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -124,6 +152,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").filter(100 * shared >= per_cent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _may_link(per_cent: int) -> Column:
+    """Whether a member and a centre of its bucket must be compared: not of one component yet, sizes that allow the
+    similarity, hashes that do not rule it out, and no earlier band in which the two meet as well."""
+    sizes = 100 * F.least("n", "c_n") >= per_cent * F.greatest("n", "c_n")
+    first = F.get(F.filter(F.sequence(F.lit(0), F.col("band")), lambda k: F.get("bands", k) == F.get("c_bands", k)), F.lit(0)) == F.col("band")
+
+    def equal_bytes(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        for bits, kept in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, bits)).bitwiseAND(F.lit(kept))
+        return F.lit(8) - F.bit_count(z)
+
+    alike = F.aggregate(F.zip_with("bands", "c_bands", equal_bytes), F.lit(0), lambda a, x: a + x)
+    return (F.col("node") != F.col("c_node")) & (F.col("label") != F.col("c_label")) & sizes & first & (alike >= int((per_cent / 100 - ALIKE) * BINS))
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``; links have ``100 * shared >= per_cent * joint`` shingles."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -132,27 +176,30 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id",
     nodes = known.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bands")).alias("x")).select("h1", "h2", "x.*")
     nodes = stored(nodes, "nodes")
 
-    rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    members = stored(rows.join(full, "key", "left_semi"), "members")
-    need = members.select("node").distinct()
-    sets = stored(narrow.withColumnRenamed("id", "node").join(need, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    keys = nodes.select(F.posexplode("bands").alias("band", "value"), "node")
+    full = keys.groupBy("band", "value").agg(F.count("*").alias("c")).filter("c > 1").select("band", "value")
+    members = keys.join(full, ["band", "value"], "left_semi")
+    members = stored(members.join(nodes.select("node", "n", "bands"), "node"), "members")
+    sets = stored(_wanted_sets(narrow, members.select("node").distinct()), "sets")
 
     links, tested, labels = None, None, None
     centres = FIRST_CENTRES
-    rank = "row_number() OVER (PARTITION BY key ORDER BY node)"
     while True:
-        here = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        if labels is not None:
-            mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            here = cut(here.join(mixed, "key", "left_semi"))
+        if labels is None:
+            here = members.withColumn("label", F.col("node"))
+            order = "node"
+        else:
+            here = members.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+            mixed = here.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "value")
+            here = cut(here.join(mixed, ["band", "value"], "left_semi"))
             if here.isEmpty():
                 break
-        else:
-            here = here.withColumn("label", F.col("node"))
-        middle = here.withColumn("rank", F.expr(rank)).filter(F.col("rank") <= centres).select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        pairs = here.join(middle, "key").filter(F.col("node") != F.col("c")).filter("label <> cl").filter(100 * F.least("n", "cn") >= per_cent * F.greatest("n", "cn"))
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+            here = here.withColumn("peers", F.expr("count(*) OVER (PARTITION BY band, value, label)"))
+            order = "peers, node"  # members of small components first: who has met the bucket leaves it
+        ranked = here.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY band, value ORDER BY {order})"))
+        middle = ranked.filter(F.col("rank") <= centres).select("band", "value", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "bands", "label")])
+        pairs = here.join(middle, ["band", "value"]).filter(_may_link(per_cent))
+        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -160,7 +207,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id",
         links = cut(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
-        members = cut(here.select("key", "node", "n").join(middle.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti"))
+        members = cut(here.select("band", "value", "node", "n", "bands").join(middle.select("band", "value", F.col("c_node").alias("node")), ["band", "value", "node"], "left_anti"))
         centres *= MORE_CENTRES
 
     roots = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
