@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import let
 
 THRESHOLD = 0.8
+SLACK = 1e-9  # for bounds in floating point; the coefficient itself decides
 
 #: Public licence texts and the notices in common use.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -89,7 +90,7 @@ def bigrams(text: str) -> list[str]:
 
 
 def bounds(size: int, threshold: float) -> tuple[float, float]:
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    return size * threshold / (2 - threshold) - SLACK, size * (2 - threshold) / threshold + SLACK
 
 
 def _bigrams(w: Column) -> Column:
@@ -116,7 +117,7 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
 
     def scored(unit: Column) -> Column:
         def of(own: Column) -> Column:
-            fit = F.filter(table, lambda t: (F.size(own) * (2 - threshold) >= threshold * t["size"]) & (F.size(own) * threshold <= (2 - threshold) * t["size"]))
+            fit = F.filter(table, lambda t: (F.size(own) * (2 - threshold) + SLACK >= threshold * t["size"]) & (F.size(own) * threshold - SLACK <= (2 - threshold) * t["size"]))
             dice = lambda t: 2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["size"])
             return F.array_min(F.transform(fit, lambda t: F.struct((-dice(t)).alias("minus"), t["name"].alias("name"), unit["at"].alias("at"))))
 

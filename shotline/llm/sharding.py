@@ -140,7 +140,8 @@ def _choose(rows: DataFrame, nodes: list[_Node], n_dims: int) -> None:
             n.span = (r[f"hi{n.dim}"] + 1 << TIE_BITS) - n.low
             n.goal = r["bytes"] * (n.shards - n.shards // 2) / n.shards
     for n in nodes:
-        n.cut = None if n.span else 0
+        if n.shards > 1:
+            n.cut = None if n.span else 0
 
 
 def _find_cuts(keyed: DataFrame, nodes: list[_Node], slack: float) -> None:

@@ -51,7 +51,7 @@ def _bounds(keys: DataFrame, shard_bytes: int) -> list[int]:
     while open_:
         heavy = []
         for begin, width in open_:
-            at = keys.filter((F.col("id") >= begin) & (F.col("id") - F.lit(begin) < F.lit(width) * CELLS)).withColumn("cell", F.expr(f"(id - ({begin}L)) div {width}L"))
+            at = keys.filter((F.col("id") >= begin) & (F.col("id") <= min(begin + width * CELLS - 1, 2**63 - 1))).withColumn("cell", F.expr(f"(id - ({begin}L)) div {width}L"))
             for r in at.groupBy("cell").agg(F.sum("size").alias("bytes")).collect():
                 start = begin + r["cell"] * width
                 if r["bytes"] > shard_bytes and width > 1:
