@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
     video = given.video[-1]
     spark = SparkSession.builder.appName("shotline").getOrCreate()
     try:
-        found = detect_scene_changes(spark, video, Options(sensitivity=given.sensitivity))
+        found = detect_scene_changes(spark, str(Path(video).resolve()), Options(sensitivity=given.sensitivity))
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -1,5 +1,5 @@
 """Video sources: Y4M and raw gray files, PGM image sequences, frame tables."""
 
-from .video import FrameSource, VideoSource, read_frame_table, read_frames, read_pgm, read_videos, register
+from .video import FrameSource, VideoSource, extract_frame, read_frame_table, read_frames, read_pgm, read_videos, register
 
-__all__ = ["FrameSource", "VideoSource", "read_frame_table", "read_frames", "read_pgm", "read_videos", "register"]
+__all__ = ["FrameSource", "VideoSource", "extract_frame", "read_frame_table", "read_frames", "read_pgm", "read_videos", "register"]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..schema import FRAMES, VIDEOS
@@ -76,16 +76,10 @@ class _Range(InputPartition):
 
 class _FrameReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.options, self.only = options, None
+        self.options = options
+        self.only = int(options["frame"]) if "frame" in options else None
         self.step = int(options.get("skipframes", 0)) + 1
 
-    def pushFilters(self, filters: list) -> list:
-        """Point lookups by frame number become a range of one frame."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("frame_number",):
-                self.only = int(f.value)
-            yield f
-
     def partitions(self) -> list[_Range]:
         out = []
         for path in self.options["path"].split(","):
@@ -109,7 +103,7 @@ class _FrameReader(DataSourceReader):
 
 
 class FrameSource(DataSource):
-    """``spark.read.format("frames")``: a row for each frame."""
+    """``spark.read.format("frames")``: a row for each frame; options width, height, fps (raw files), skipFrames, frame."""
 
     @classmethod
     def name(cls) -> str:
@@ -162,6 +156,11 @@ def read_frames(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return _read(spark, "frames", path, options)
 
 
+def extract_frame(spark: SparkSession, path: str, number: int, **options: object) -> DataFrame:
+    """One frame by its number, read alone; no row where there is none."""
+    return _read(spark, "frames", path, options | {"frame": number})
+
+
 def read_videos(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return _read(spark, "video_meta", path, options)
 
