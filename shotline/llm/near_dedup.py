@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, cut, in_chunks, mix, stored, word_hashes
+from .common import _ODD, cut, in_chunks, mix, release, stored, word_hashes
 
 WIDTH = 5  # words in a shingle
 BANDS, ROWS = 32, 8  # at similarity 0.85, one pair in 25,000 shares no bucket
@@ -139,10 +139,12 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = cut(small)
+        del both, least, large, low, small
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
         before = now
+        release(links.sparkSession)
     return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
@@ -225,6 +227,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id",
         labels = components(links)
         members = cut(here.select("band", "value", "node", "n", "bands").join(middle.select("band", "value", F.col("c_node").alias("node")), ["band", "value", "node"], "left_anti"))
         centres *= MORE_CENTRES
+        release(docs.sparkSession)
 
     roots = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
     out = marks.select("id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"], "left")

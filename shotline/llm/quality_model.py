@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import _ODD, _SPACE, in_chunks, mix, word_hashes
 
 SLOTS = 1 << 18
-MOST_ROWS = 6000  # labelled rows that the fit sees, about 15 MB of slots
+MOST_ROWS = 4000  # labelled rows that the fit sees, about 40 MB of slots
 FOLDS = 5  # one of these holds rows for the curve
 PASSES, COST, SMOOTH = 12, 0.02, 1.0
 
@@ -106,7 +106,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray) -> Model:
         count = np.bincount(np.concatenate([*own, np.empty(0, np.int32)]).astype(np.int64), minlength=SLOTS) + SMOOTH
         ratio += sign * np.log(count / (len(own) + 2 * SMOOTH))
     size = [np.sqrt(max(len(r), 1)) for r in rows]
-    values = [ratio[r] / s for r, s in zip(rows, size, strict=True)]
+    values = [(ratio[r] / s).astype(np.float32) for r, s in zip(rows, size, strict=True)]
     # dual coordinate descent, hinge loss; classes weigh alike
     share = {s: max(1, sum(y[k] == s for k in known)) for s in (1, -1)}
     bound = {s: COST * len(known) / (2 * share[s]) for s in (1, -1)}
@@ -159,8 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, most_rows: int = MO
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(SLOTS, np.float32), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    ids = np.array(got["id"].to_pylist(), np.int64).view(np.uint64)
-    slots = [np.array(x, np.int32) for x in got["slots"].to_pylist()]
+    ids = got["id"].to_numpy().view(np.uint64)
+    column = got["slots"].combine_chunks()
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    slots = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     return fit(slots, y, mix(ids) % np.uint64(FOLDS) == 0)
 
 
