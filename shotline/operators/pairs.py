@@ -63,7 +63,7 @@ def _pictures(data: list[bytes], width: int, height: int, stride: list[int | Non
     return out
 
 
-def _batches(width: int, height: int, n: int, pixels: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def _batches(width: int, height: int, n: int, pixels: int = 24_000_000) -> Iterator[tuple[int, int]]:
     step = max(1, pixels // max(1, width * height))
     for at in range(0, n, step):
         yield at, min(n, at + step)
