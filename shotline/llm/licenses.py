@@ -129,7 +129,9 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     cell = lambda part, at: F.struct(F.array_remove(F.split(part, "[ \n]+"), "").alias("w"), at.cast("int").alias("at"))
     lines = F.transform(F.split(text, "\n"), lambda x, i: cell(x, i + 1))
     whole = F.array(cell(text, F.lit(0)))
-    enough = F.filter(F.concat(whole, lines), lambda u: (F.size(u["w"]) - 1 >= least) & ((u["at"] > 0) | (F.size(u["w"]) - 1 <= 4 * most)))
+    # and one of d distinct words at least d - 1, so a long text of few words, such as a licence many times over, stays in
+    fits_most = lambda w: (F.size(w) - 1 <= 4 * most) | (F.size(F.array_distinct(w)) - 1 <= most)
+    enough = F.filter(F.concat(whole, lines), lambda u: (F.size(u["w"]) - 1 >= least) & fits_most(u["w"]))
     units = F.transform(enough, lambda u: F.struct(_bigrams(u["w"]).alias("own"), u["at"].alias("at")))
     hits = F.filter(F.transform(units, scored), lambda x: x["minus"] <= -threshold)
     found = docs.select(F.col(id_col), hits.alias("hits")).withColumn("best", F.array_min("hits"))
