@@ -25,6 +25,7 @@ from .common import cut, n_words, stored
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 TOLERANCE, STEPS = 1e-9, 100
 BLOCK_ROWS = 1000  # documents of one source and size that are ranked in one group
+HOT_GROUPS = 256  # at most so many groups of one source and size are broadcast
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -97,24 +98,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rates = rates.withColumn("owed", F.floor(owed + 0.5)).withColumn("extra", F.col("owed") - F.expr("coalesce(lag(owed) OVER (PARTITION BY skey ORDER BY size), 0)"))
     # What is still off then is near the size of some document: one copy more or less of that size meets it.
     copies = F.col("n") * F.floor("rate") + F.col("extra")
-    rates = rates.join(goals.select("skey", "target"), "skey").withColumn("copies", copies)
+    rates = rates.join(goals.select("skey", "source_size", "target"), "skey").withColumn("copies", copies)
     rates = rates.withColumn("off", F.col("target") - F.expr("sum(copies * size) OVER (PARTITION BY skey)"))
     room = F.when(F.col("off") > 0, (F.col("rate") < most) & (F.col("extra") < F.col("n"))).otherwise(F.col("extra") > 0)
     rates = rates.withColumn("gap", F.when(room, F.abs(F.abs("off") - F.col("size")))).withColumn("best", F.expr("min(CASE WHEN gap IS NOT NULL THEN struct(gap, size) END) OVER (PARTITION BY skey)"))
     fix = (F.col("best.gap") < F.abs("off")) & (F.col("best.size") == F.col("size")) & (F.col("size") > 0)
     rates = rates.withColumn("extra", F.col("extra") + F.when(fix, F.signum("off")).otherwise(F.lit(0.0)).cast("long"))
-    rates = cut(rates.select("skey", "size", "n", "rate", "extra", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
+    rates = cut(rates.select("skey", "size", "source_size", "target", "n", "rate", "extra", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
 
     # In a group of one block `extra` documents get a copy more; a larger group deals its share to blocks, each rounded by a hash.
+    # Groups with over 1 / HOT_GROUPS of all documents, hence fewer than HOT_GROUPS of them, are dealt by block from the start.
     luck = F.xxhash64("id", F.lit("mix"))
-    rows = narrow.drop("source").join(rates, ["skey", "size"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks"))).withColumn("luck", luck)
-    here = "(PARTITION BY skey, size, block"
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = (F.col("blocks") > 1) & (F.col("n") > total / HOT_GROUPS)
+    hot = cut(rates.filter(large).select("skey", "size", "blocks"))
+    salted = narrow.drop("source").join(F.broadcast(hot), ["skey", "size"], "left").withColumn("salt", F.coalesce(block, F.lit(0).cast("long"))).drop("blocks")
+    dealt = rates.withColumn("salt", F.explode(F.when(large, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    rows = salted.join(dealt, ["skey", "size", "salt"]).withColumn("block", block).withColumn("luck", luck)
+    here = "(PARTITION BY skey, size, salt, block"
     rows = rows.select("*", F.expr(f"row_number() OVER {here} ORDER BY luck, id, row)").alias("place"), F.expr(f"count(*) OVER {here})").alias("together"))
     chance = F.pmod(F.xxhash64("skey", "size", "block"), F.lit(1 << 20)) / float(1 << 20)
     quota = F.when(F.col("blocks") == 1, F.col("extra")).otherwise(F.floor(F.col("together") * F.col("extra") / F.col("n") + chance))
     copies = (F.floor("rate") + (F.col("place") <= quota).cast("long")).cast("long")
-    out = rows.withColumn("copies", copies).join(goals.select("skey", "source_size", "target"), "skey")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", "row")
+    return rows.withColumn("copies", copies).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", "row")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:

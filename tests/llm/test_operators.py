@@ -192,6 +192,18 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_deals_hot_groups_by_block(spark):
+    """A source and size with most of all rows goes to several blocks, and every row comes back once."""
+    copies = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"), F.lit("hot").alias("source"))
+    other = spark.range(6000, 6400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.lit("cold").alias("source"))
+    got = mixing.mix(copies.union(other)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(6400))
+    for source in (True, False):
+        part = [r for r in got if (r["doc_id"] < 6000) == source]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 0.01 * part[0]["target"]
+        assert all(0 <= r["copies"] <= 2 for r in part)
+
+
 def test_quality_model(spark, docs, empty):
     base = "/root/testdata/sf0.01"
     text, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
@@ -221,7 +233,7 @@ def brute_licence(t):
 
 
 def test_licence_scan(spark, docs, empty):
-    rows = [(300, licenses._MIT, "en", "a", 1), (301, "text\nReleased under the MIT License.\nmore", "en", "a", 1), (302, licenses._BSD_HEAD.replace("\n", " ") + " " + licenses._BSD_TAIL.replace("\n", " "), "en", "a", 1), (303, "Released under the FOO License", "en", "a", 1)]
+    rows = [(300, licenses._MIT, "en", "a", 1), (301, "text\nReleased under the MIT License.\nmore", "en", "a", 1), (302, licenses._BSD_HEAD.replace("\n", " ") + " " + licenses._BSD_TAIL.replace("\n", " "), "en", "a", 1), (303, "Released under the FOO License", "en", "a", 1), (304, "\n\n".join([licenses._MIT] * 30), "en", "a", 1)]
     more = docs.unionByName(spark.createDataFrame(rows, DOCS)).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
     text = {r["doc_id"]: r["text"] for r in more.filter("doc_id >= 300").collect()}
     for r in licenses.licence_scan(more).collect():
