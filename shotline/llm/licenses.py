@@ -1,17 +1,23 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A document is scanned as a whole and line by line, for notices stand alone in running text. A unit of ``a`` distinct
-bigrams can reach a coefficient of ``t`` with a template of ``b`` only if ``t / (2 - t) <= a / b <= (2 - t) / t``, so
-units whose size fits no template are dropped before any bigram is made, and others meet only the templates that fit.
+A document is scanned as a whole, line by line, and by runs of words of any place and length up to twice a template's,
+for notices stand alone, in running text, and wrapped over lines at the head of a longer text. A unit can reach a
+coefficient of ``t`` with a template of ``b`` distinct bigrams only if it holds ``b * t / (2 - t)`` of them, so one pass
+over a document's bigrams leaves the few templates it may hold, and most documents none. A run that begins or ends on
+a bigram foreign to the template, or beside one of its own, is never better than the run without the first or with the
+second; so the runs from one block of own bigrams to another are all that need a score, and that is exact.
 Everything is one Spark projection; the templates are a constant of it, and nothing is shuffled.
 
 Defined results: a null or empty text has no licence (null, score 0, no hits); of equal scores the first template by
-name counts, then the first unit; repeated rows get a result each; an empty table gives none.
+name counts, then the first unit; of runs that overlap one counts, that of a template at least twice as large, else
+the better; a run counts only where neither the whole text nor a line it touches is a hit of its template; repeated
+rows get a result each; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +68,7 @@ INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIM
 OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
 WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
 THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEXTS = Path(__file__).with_name("licence_texts")
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": _APACHE,
@@ -78,61 +85,125 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-text": _MIT,
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-}
+} | {f"{f.stem}-text": f.read_text() for f in sorted(TEXTS.glob("*.txt"))}
 
 APART = r"[^\p{L}\p{N}\n]+"
 
 
+def _all_bigrams(text: str) -> list[str]:
+    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
 def bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a template, in order."""
-    w = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+    return list(dict.fromkeys(_all_bigrams(text)))
+
+
+def _pairs(w: Column) -> Column:
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
 
 
-def bounds(size: int, threshold: float) -> tuple[float, float]:
-    return size * threshold / (2 - threshold) - SLACK, size * (2 - threshold) / threshold + SLACK
+def _blocks(pairs: Column, places: Column, t: Column, body) -> Column:
+    """``body(starts, ends)``: the maximal blocks of neighbouring bigrams of ``t``, each end with its rank among all of them."""
 
+    def of(at: Column) -> Column:
+        place = lambda i, k: F.struct(i.alias("place"), k.alias("rank"))
+        ranked = F.transform(at, place)
+        starts = F.filter(ranked, lambda x, k: ~F.coalesce(F.get(at, k - 1) == x["place"] - 1, F.lit(False)))
+        ends = F.filter(ranked, lambda x, k: ~F.coalesce(F.get(at, k + 1) == x["place"] + 1, F.lit(False)))
+        return let(ends, lambda e: body(starts, e))
 
-def _bigrams(w: Column) -> Column:
-    return F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+    return let(F.filter(places, lambda i: F.array_contains(t["bigrams"], F.get(pairs, i))), of)
 
 
 def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, score, unit, n_hits) of every row: the best template, its coefficient, where (0 the whole text, else
-    the line), and how many units reach the threshold. Without a hit the licence and unit are null and the score 0."""
-    known = [(name, b) for name, text in sorted(templates.items()) if (b := bigrams(text))]
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(b)).alias("size"), F.array(*[F.lit(x) for x in b]).alias("bigrams")) for n, b in known])
-    ranges: list[list[float]] = []
-    for low, high in sorted(bounds(len(b), threshold) for _, b in known):
-        if ranges and low <= ranges[-1][1] + 1:
-            ranges[-1][1] = max(ranges[-1][1], high)
-        else:
-            ranges.append([low, high])
-
-    def fits(n: Column) -> Column:
-        out = F.lit(False)
-        for low, high in ranges:
-            out |= (n >= low) & (n <= high)
-        return out
-
-    def scored(unit: Column) -> Column:
+    the line, of a run its first), and how many units reach the threshold. Without a hit the licence and unit are null
+    and the score 0."""
+    known = [(name, b, len(_all_bigrams(text))) for name, text in sorted(templates.items()) if (b := bigrams(text))]
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(b)).alias("size"), F.lit(2 * longest).alias("longest"), F.split(F.lit("\n".join(b)), "\n").alias("bigrams")) for n, b, longest in known])
+    any_of = sorted({x for _, b, _ in known for x in b})
+    least = min(len(b) for _, b, _ in known) * threshold / (2 - threshold) - SLACK
+
+    def enough(shared: Column, t: Column) -> Column:
+        return shared * (2 - threshold) + SLACK >= threshold * t["size"]
+
+    def minus(own: Column, t: Column) -> Column:
+        return -2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["size"])
+
+    def scored(unit: Column, may: Column) -> Column:
         def of(own: Column) -> Column:
-            fit = F.filter(table, lambda t: (F.size(own) * (2 - threshold) + SLACK >= threshold * t["size"]) & (F.size(own) * threshold - SLACK <= (2 - threshold) * t["size"]))
-            dice = lambda t: 2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["size"])
-            return F.array_min(F.transform(fit, lambda t: F.struct((-dice(t)).alias("minus"), t["name"].alias("name"), unit["at"].alias("at"))))
+            fit = F.filter(may, lambda t: enough(F.size(own), t) & (F.size(own) * threshold - SLACK <= (2 - threshold) * t["size"]))
+            return F.array_min(F.transform(fit, lambda t: F.struct(minus(own, t).alias("minus"), t["name"].alias("name"), unit["at"].alias("at"))))
+
+        return let(F.array_distinct(_pairs(unit["w"])), of)
+
+    def runs_of(t: Column, pairs: Column, places: Column) -> Column:
+        """The best run of each start, where that is a hit."""
+
+        def run(s: Column, e: Column) -> Column:
+            own = F.array_distinct(F.slice(pairs, s["place"] + 1, e["place"] - s["place"] + 1))
+            value = let(own, lambda o: minus(o, t))
+            return F.struct(value.alias("minus"), (-t["size"]).alias("less"), t["name"].alias("name"), s["place"].alias("first"), e["place"].alias("last"))
 
-        return F.when(fits(F.size(unit["own"])), let(unit["own"], of))
+        def from_starts(starts: Column, ends: Column) -> Column:
+            def best(s: Column, k: Column) -> Column:
+                near = F.slice(ends, k + 1, t["longest"])  # a block takes a place at least
+                fit = F.filter(near, lambda e: (e["place"] - s["place"] < t["longest"]) & enough(e["rank"] - s["rank"] + 1, t))
+                return F.array_min(F.transform(fit, lambda e: run(s, e)))
+
+            return F.filter(F.transform(starts, best), lambda r: r["minus"] <= -threshold)
+
+        return _blocks(pairs, places, t, from_starts)
+
+    def apart(runs: Column) -> Column:
+        """Of overlapping runs one, from the left."""
+
+        def step(state: Column, x: Column) -> Column:
+            last = state["last"]
+            larger = x["less"] <= 2 * last["less"]
+            smaller = last["less"] <= 2 * x["less"]
+            better = larger | (~smaller & (F.struct(x["minus"], x["less"], x["name"]) < F.struct(last["minus"], last["less"], last["name"])))
+            meets = x["first"] <= last["last"] + 1
+            kept = F.when(last.isNull() | meets, state["kept"]).otherwise(F.concat(state["kept"], F.array(last)))
+            return F.struct(kept.alias("kept"), F.when(last.isNull() | ~meets | better, x).otherwise(last).alias("last"))
+
+        kind = "struct<minus:double,less:int,name:string,first:int,last:int>"
+        start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(None).cast(kind).alias("last"))
+        by_place = F.array_sort(runs, lambda x, y: F.when(x["first"] != y["first"], x["first"] - y["first"]).otherwise(y["last"] - x["last"]))
+        return F.aggregate(by_place, start, step, lambda s: F.when(s["last"].isNull(), s["kept"]).otherwise(F.concat(s["kept"], F.array(s["last"]))))
 
-    # a unit of w words has at most w - 1 distinct bigrams, so one under the least size fits nothing
     text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), APART, " ")
-    least, most = ranges[0][0], ranges[-1][1]
     cell = lambda part, at: F.struct(F.array_remove(F.split(part, "[ \n]+"), "").alias("w"), at.cast("int").alias("at"))
-    lines = F.transform(F.split(text, "\n"), lambda x, i: cell(x, i + 1))
-    whole = F.array(cell(text, F.lit(0)))
-    # and one of d distinct words at least d - 1, so a long text of few words, such as a licence many times over, stays in
-    fits_most = lambda w: (F.size(w) - 1 <= 4 * most) | (F.size(F.array_distinct(w)) - 1 <= most)
-    enough = F.filter(F.concat(whole, lines), lambda u: (F.size(u["w"]) - 1 >= least) & fits_most(u["w"]))
-    units = F.transform(enough, lambda u: F.struct(_bigrams(u["w"]).alias("own"), u["at"].alias("at")))
-    hits = F.filter(F.transform(units, scored), lambda x: x["minus"] <= -threshold)
-    found = docs.select(F.col(id_col), hits.alias("hits")).withColumn("best", F.array_min("hits"))
+
+    def hits_of(w: Column, pairs: Column, places: Column, may: Column) -> Column:
+        lines = F.transform(F.split(text, "\n"), lambda x, i: cell(x, i + 1))
+        units = F.filter(F.concat(F.array(F.struct(w.alias("w"), F.lit(0).alias("at"))), lines), lambda u: F.size(u["w"]) - 1 >= least)
+        hits = F.filter(F.transform(units, lambda u: scored(u, may)), lambda x: x["minus"] <= -threshold)
+        line = F.flatten(F.transform(lines, lambda x: F.array_repeat(x["at"], F.size(x["w"]))))
+        runs = apart(F.flatten(F.transform(may, lambda t: runs_of(t, pairs, places))))
+
+        def with_runs(hits: Column) -> Column:
+            def own(line: Column) -> Column:
+                known = lambda r: F.exists(hits, lambda h: (h["name"] == r["name"]) & ((h["at"] == 0) | h["at"].between(F.get(line, r["first"]), F.get(line, r["last"] + 1))))
+                return F.transform(F.filter(runs, lambda r: ~known(r)), lambda r: F.struct(r["minus"].alias("minus"), r["name"].alias("name"), F.get(line, r["first"]).alias("at")))
+
+            return F.concat(hits, let(line, own))
+
+        return let(hits, with_runs)
+
+    def from_pairs(w: Column, pairs: Column) -> Column:
+        def from_places(places: Column) -> Column:
+            held = F.array_distinct(F.transform(places, lambda i: F.get(pairs, i)))
+            may = let(held, lambda m: F.filter(table, lambda t: enough(F.size(m), t) & enough(F.size(F.array_intersect(t["bigrams"], m)), t)))
+            return let(may, lambda m: F.when(F.size(m) > 0, hits_of(w, pairs, places, m)))
+
+        marked = F.transform(pairs, lambda x, i: F.when(x.isin(any_of), i))
+        return let(F.array_compact(marked), from_places)
+
+    words = F.array_remove(F.split(text, "[ \n]+"), "")
+    hits = let(words, lambda w: let(_pairs(w), lambda p: from_pairs(w, p)))
+    empty = F.array().cast("array<struct<minus:double,name:string,at:int>>")
+    found = docs.select(F.col(id_col), F.coalesce(hits, empty).alias("hits")).withColumn("best", F.array_min("hits"))
     return found.select(id_col, F.col("best.name").alias("license"), F.coalesce(-F.col("best.minus"), F.lit(0.0)).alias("score"), F.col("best.at").alias("unit"), F.size("hits").cast("long").alias("n_hits"))

@@ -300,3 +300,23 @@ def test_html_over_a_table(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
     for r in html_text.extract_text(spark.read.parquet(f"{SF}/pages.parquet")).collect():
         assert r["text"] and "<p>" not in r["text"] and "track(" not in r["text"]
+
+
+def test_licence_in_longer_text(spark):
+    rng = random.Random(3)
+    body = lambda n: "\n".join(" ".join(f"f{rng.randrange(10**6)}" for _ in range(10)) for _ in range(n // 10))
+    wrapped = {"mit-text": licenses._MIT, "isc": licenses._ISC, "apache-2.0-header": licenses._APACHE, "gpl-3.0-header": licenses._GPL3, "bsd-2-clause": f"{licenses._BSD_HEAD}\n{licenses._BSD_TAIL}", "gpl-2.0-text": licenses.TEMPLATES["gpl-2.0-text"], "apache-2.0-text": licenses.TEMPLATES["apache-2.0-text"]}
+    rows = [(k, f"{body(20)}\n{t.strip()}\n{body(120 if k in (1, 3) else 9000)}", n, 3, 1 + (n == "apache-2.0-text")) for k, (n, t) in enumerate(wrapped.items())]
+    # the notice within the full Apache text is a line of its own
+    rows.append((50, f"{body(40)} by Ana. Released under the MIT License. See the annex {body(40)}", "mit", 4, 1))
+    rows.append((51, "\n".join(f"{body(300)}\n{licenses._MIT.replace('persons', 'people')}" for _ in range(3)), "mit-text", 31, 3))
+    rows.append((52, f"{body(300)}\nReleased under\nthe MIT\nLicense.\n{body(90)}\n{licenses._APACHE}", None, None, 2))
+    rows.append((53, body(300) + "\nReleased under the FOO License of the MIT\n" + body(30), None, None, 0))
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licence_scan(docs).collect()}
+    for k, _, name, unit, hits in rows:
+        if k == 52:  # two notices, both verbatim
+            assert (got[k]["license"], got[k]["score"], got[k]["n_hits"]) == ("apache-2.0-header", 1, hits)
+        else:
+            assert (got[k]["license"], got[k]["unit"], got[k]["n_hits"]) == (name, unit, hits), (k, got[k])
+    assert all(got[k]["score"] == 1 for k in range(len(wrapped))) and got[50]["score"] == 1
