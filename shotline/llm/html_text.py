@@ -1,7 +1,8 @@
 """HTML to text by layout: a small tree builder with implied tags and visibility rules, then a block renderer.
 
 All visible text comes out: blocks on lines of their own, paragraphs and headings set off by a blank line, list items
-with marks and indentation, table cells in aligned columns, preformatted text as it stands. Each page is handled alone,
+with marks and indentation, table cells in aligned columns, preformatted text as it stands. Choices of a select and the
+lines of a textarea stand on lines of their own; formulas and the text of drawings run on in their line. Each page is handled alone,
 so a scan needs no shuffle and its memory is that of one page.
 
 Defined results: null or empty HTML gives an empty text; broken markup is repaired as browsers do in the common cases
@@ -23,7 +24,12 @@ WIDEST = 40  # columns a cell may ask its neighbours in other rows to keep free
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_HIDDEN = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas svg math datalist select option textarea".split())
+_HIDDEN = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas datalist mphantom".split())
+#: Elements of a drawing that are not drawn where they stand.
+_UNDRAWN = frozenset("title desc defs metadata symbol clippath mask marker pattern style script".split())
+#: HTML start tags that end a drawing or formula, and the elements within these that hold HTML.
+_BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -73,6 +79,7 @@ def parse(page: str) -> _Element:
             if stack[k].tag in walls:
                 return
 
+    foreign = re.search(r"<(?:svg|math)\b", page, re.I) is not None
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -97,10 +104,14 @@ def parse(page: str) -> _Element:
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip(" /\t\n\r\f") else {}
         if tag == "html":
             continue
+        within = foreign and next((x.tag for x in reversed(stack) if x.tag in ("svg", "math") or x.tag in _HOLDS_HTML), None)
+        while within in ("svg", "math") and tag in _BREAKS:
+            close({within}, set())
+            within = next((x.tag for x in reversed(stack) if x.tag in ("svg", "math") or x.tag in _HOLDS_HTML), None)
         if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
             close({"head"}, set())
         if tag in _ENDS_P:
-            close({"p"}, {"table", "td", "th", "caption", "object"})
+            close({"p"}, {"table", "td", "th", "caption", "object", "foreignobject"})
         if tag in _IMPLIED:
             tags, walls = _IMPLIED[tag]
             while any(x.tag in tags for x in stack):
@@ -114,9 +125,12 @@ def parse(page: str) -> _Element:
             stack.append(row)
         new = _Element(tag, attrs)
         stack[-1].children.append(new)
+        if foreign and m[3].endswith("/") and (tag in ("svg", "math") or within in ("svg", "math")):
+            continue
         if tag in _RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            new.children.append(page[at : stop.start() if stop else end])
+            said = page[at : stop.start() if stop else end]
+            new.children.append(html.unescape(said) if tag == "textarea" else said)
             at = stop.end() if stop else end
         elif tag not in _VOID and len(stack) < DEEPEST:
             stack.append(new)
@@ -194,8 +208,26 @@ def _flow(e: _Element, out: _Out, depth: int = 0, pre: bool = False) -> None:
         elif tag == "hr":
             out.gap()
             out.lines += ["---", ""]
-        elif tag == "wbr":
+        elif tag == "wbr" or (e.tag == "semantics" and tag.startswith("annotation")):
             continue
+        elif tag == "svg":
+            _drawn(child, out, depth + 1)
+        elif tag in ("option", "optgroup"):
+            out.end_line()
+            label = child.attrs.get("label", "")
+            if label:
+                out.text(label)
+                out.end_line()
+            if tag == "optgroup" or not label:
+                _flow(child, out, depth + 1)
+            out.end_line()
+        elif tag == "textarea":
+            out.end_line()
+            said = "".join(child.children).replace("\r\n", "\n").removeprefix("\n")
+            if said.strip():
+                for line in said.split("\n"):
+                    out.parts.append(line)
+                    out.end_line(always=True)
         elif tag == "table":
             out.gap()
             out.lines += _table(child, depth)
@@ -224,6 +256,30 @@ def _flow(e: _Element, out: _Out, depth: int = 0, pre: bool = False) -> None:
             _flow(child, out, depth + 1, pre)
 
 
+def _drawn(e: _Element, out: _Out, depth: int) -> None:
+    """The text of a drawing: that of its text elements, each set off by a blank, and of HTML within it."""
+    for child in e.children:
+        if isinstance(child, str) or child.tag in _UNDRAWN or not _visible(child):
+            continue
+        if child.attrs.get("display") == "none" or child.attrs.get("visibility") in ("hidden", "collapse"):
+            continue
+        out.space = True
+        if child.tag == "text":
+            _flow(_without(child), out, depth + 1)
+        elif child.tag == "foreignobject":
+            _flow(child, out, depth + 1)
+        else:
+            _drawn(child, out, depth + 1)
+        out.space = True
+
+
+def _without(e: _Element) -> _Element:
+    """``e`` without descriptions, which drawings show as tips only."""
+    out = _Element(e.tag, e.attrs)
+    out.children = [c if isinstance(c, str) else _without(c) for c in e.children if isinstance(c, str) or c.tag not in _UNDRAWN]
+    return out
+
+
 def _span(e: _Element, name: str) -> int:
     given = e.attrs.get(name, "1")
     return max(1, min(int(given), 100)) if re.fullmatch(r"\d{1,9}", given) else 1

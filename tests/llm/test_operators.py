@@ -320,3 +320,17 @@ def test_licence_in_longer_text(spark):
         else:
             assert (got[k]["license"], got[k]["unit"], got[k]["n_hits"]) == (name, unit, hits), (k, got[k])
     assert all(got[k]["score"] == 1 for k in range(len(wrapped))) and got[50]["score"] == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"), ("<math><semantics><mi>y</mi><annotation encoding=tex>\\y</annotation></semantics></math>", "y"),
+        ("a <svg><title>t</title><desc>d</desc><defs><text>no</text></defs><rect/><g><text x=1>one <tspan>two</tspan></text><text>three</text></g></svg> b", "a one two three b"),
+        ("<svg><defs/><path d='M0'/><foreignObject><p>in</p></foreignObject></svg><svg/>out", "in\n\nout"), ("<svg><text>a</text><p>b", "a\n\nb"),
+        ("Pick <select><option>red<option selected>blue<optgroup label=Dark><option>black</select> now", "Pick\nred\nblue\nDark\nblack\nnow"),
+        ("Say <textarea>\nhi &amp; <b>\n  you</textarea> end", "Say\nhi & <b>\n  you\nend"), ("<datalist><option>no</datalist>yes", "yes"),
+    ],
+)
+def test_html_shows_formulas_drawings_and_forms(page, text):
+    assert html_text.render(page) == text
