@@ -6,7 +6,8 @@ lines of a textarea stand on lines of their own; formulas and the text of drawin
 so a scan needs no shuffle and its memory is that of one page.
 
 Defined results: null or empty HTML gives an empty text; broken markup is repaired as browsers do in the common cases
-and never raises; nesting past ``DEEPEST`` is flattened; repeated rows are rendered each; an empty table gives none.
+and never raises; nesting past ``DEEPEST`` is flattened; a table whose alignment would add more than ``MOST_PADDING``
+characters keeps its text but not all its columns in line; repeated rows are rendered each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEEPEST = 200
-WIDEST = 40  # columns a cell may ask its neighbours in other rows to keep free
+MOST_PADDING = 10_000_000  # blanks and held cells that one table may add; past it, columns are at most NARROW wide
+NARROW = 40
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -285,52 +287,76 @@ def _span(e: _Element, name: str) -> int:
     return max(1, min(int(given), 100)) if re.fullmatch(r"\d{1,9}", given) else 1
 
 
+def _rowspan(e: _Element) -> float:
+    """Rows that a cell takes; 0 is the rest of its group."""
+    given = e.attrs.get("rowspan", "1")
+    return (int(given) or float("inf")) if re.fullmatch(r"\d{1,9}", given) else 1
+
+
 def _table(table: _Element, depth: int) -> list[str]:
-    """Captions, then rows with their cells in columns as wide as their widest cell, as far as ``WIDEST``."""
+    """Captions, then rows with their cells in columns as wide as their widest cell; a cell keeps its columns free in the rows it spans."""
     above, rows = [], []
 
-    def collect(e: _Element) -> None:
-        for child in e.children:
+    def collect(e: _Element, group: int) -> None:
+        for k, child in enumerate(e.children):
             if isinstance(child, str) or not _visible(child):
                 if isinstance(child, str) and child.strip():
                     above.append(" ".join(child.split()))
                 continue
             if child.tag in ("thead", "tbody", "tfoot"):
-                collect(child)
+                collect(child, k + 1)
             elif child.tag == "tr":
                 cells = []
                 for cell in child.children:
                     if isinstance(cell, str):
                         if cell.strip():
-                            cells.append(([" ".join(cell.split())], 1))
+                            cells.append(([" ".join(cell.split())], 1, 1))
                     elif _visible(cell):
                         inner = _Out()
                         _flow(cell if cell.tag in ("td", "th") else _wrapped(cell), inner, depth + 1)
-                        cells.append((inner.done(), _span(cell, "colspan")))
-                rows.append(cells)
+                        cells.append((inner.done(), _span(cell, "colspan"), _rowspan(cell)))
+                rows.append((cells, group))
             else:
                 inner = _Out()
                 _flow(_wrapped(child), inner, depth + 1)
                 above.extend(inner.done())
 
-    collect(table)
+    collect(table, 0)
+    placed = []  # the cells of each row as (column, lines, span), those held from above without lines
+    held: dict[int, float] = {}  # columns and how many more rows of their group they are taken in
+    before, n_held = None, 0
+    for cells, group in rows:
+        n_held += len(held)
+        if group != before or n_held > MOST_PADDING // 20:
+            held, before = {}, group
+        row, at, kept = [(c, [], 1) for c in held], 0, {c: n - 1 for c, n in held.items() if n > 1}
+        for lines, span, down in cells:
+            while at in held:
+                at += 1
+            row.append((at, lines, span))
+            if down > 1:
+                kept |= {at + j: down - 1 for j in range(span)}
+            at += span
+        placed.append(sorted(row, key=lambda c: c[0]))
+        held = kept
     width: dict[int, int] = {}
-    for cells in rows:
-        at = 0
-        for lines, span in cells:
+    for row in placed:
+        for at, lines, span in row:
             if span == 1:
-                width[at] = min(WIDEST, max([width.get(at, 0), *map(len, lines)]))
-            at += span
+                width[at] = max([width.get(at, 0), *map(len, lines)])
+    if sum(width.values()) * sum(max((len(lines) for _, lines, _ in row), default=0) for row in placed) > MOST_PADDING:
+        width = {c: min(n, NARROW) for c, n in width.items()}
     out = list(above)
-    for cells in rows:
-        if not any(lines for lines, _ in cells):
+    for row in placed:
+        if not any(lines for _, lines, _ in row):
             continue
-        for k in range(max(len(lines) for lines, _ in cells)):
-            line, at = [], 0
-            for lines, span in cells:
+        for k in range(max(len(lines) for _, lines, _ in row)):
+            line, next_at = [], 0
+            for at, lines, span in row:
+                line += ["".ljust(width.get(j, 0)) for j in range(next_at, at)]
                 room = sum(width.get(at + j, 0) for j in range(span)) + 3 * (span - 1)
                 line.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
+                next_at = max(next_at, at + span)
             out.append(" | ".join(line).rstrip(" "))
     return out
 

@@ -334,3 +334,16 @@ def test_licence_in_longer_text(spark):
 )
 def test_html_shows_formulas_drawings_and_forms(page, text):
     assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<table><tr><td>{'x' * 60}<td>b<tr><td>c<td>d</table>", f"{'x' * 60} | b\nc{' ' * 59} | d"),
+        ("<table><tr><td rowspan=2>aa<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "aa | b | c\n   | d | e\nf  | g | h"),
+        ("<table><tr><td>a<td rowspan=0>bb<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g<td>h</table>", "a | bb | c\nd |    | e\nf | g  | h"),
+        ("<table><tr><td rowspan=3 colspan=2>w<td>x<tr><td>y<tr><td>z<tr><td>11<td>22<td>33</table>", "w       | x\n   |    | y\n   |    | z\n11 | 22 | 33"),
+    ],
+)
+def test_html_columns_of_wide_and_tall_cells(page, text):
+    assert html_text.render(page) == text
