@@ -3,7 +3,8 @@
 Fixed masks pick some word places of a window and ignore the others, so a copy whose words were substituted here and
 there still shares a seed with its source. The benchmark's seeds are joined with the seeds at every place of every
 document, and around each hit the two word sequences are laid side by side: an overlap counts where ``WINDOW``
-consecutive words (the whole item, if shorter) agree in at least ``SHARE`` of their places.
+consecutive words (the whole item, if shorter) agree in at least ``SHARE`` of their places. Items shorter than a window
+have masks of their own, which leave out every choice of places that may differ.
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words, each a broadcast of bounded size; a
 larger benchmark takes more passes over the documents, never a larger broadcast. Documents are scanned whole and never
@@ -16,6 +17,7 @@ as the one of the smallest item_id; repeated documents are reported once each; e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import _ODD, cut, in_chunks, mix, word_hashes
 
-#: Every window of 13 words with at most two substitutions holds one of the spaced masks in full; the run serves short items.
+#: Every window of 13 words with at most two substitutions holds one of the spaced masks in full.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 WINDOW, SHARE = 13, 0.8
 SEGMENT = 4096  # words of an item that are laid out at once; longer items become overlapping segments
@@ -48,6 +50,18 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Places of an item of ``n`` words, under a window: one choice at least is whole where SHARE of the words are equal.
+
+    With ``m`` words that may differ, two of any ``m + 2`` parts are untouched; of five words, four of the five.
+    """
+    m = n - ceil(SHARE * n)
+    if n == len(MASKS[0]):
+        return list(combinations(range(n), n - m))
+    parts = np.array_split(np.arange(n), m + 2)
+    return [tuple(np.concatenate(two).tolist()) for two in combinations(parts, 2)]
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -74,20 +88,26 @@ class Index:
         self.words = np.concatenate(parts)
         self.first = np.cumsum([0] + [len(p) for p in parts])
         self.tables = []
-        for salt, mask in enumerate(MASKS):
-            found = [(seeds(p, mask, salt), self.first[k] + np.arange(max(len(p) - mask[-1], 0))) for k, p in enumerate(parts)]
+        placed: dict[tuple[int, ...], list] = {mask: [(seeds(p, mask, salt), self.first[k] + np.arange(max(len(p) - mask[-1], 0))) for k, p in enumerate(parts)] for salt, mask in enumerate(MASKS)}
+        for k, p in enumerate(parts):
+            for places in short_masks(len(p)) if len(p) < WINDOW else ():
+                mask = tuple(x - places[0] for x in places)
+                if mask not in MASKS:
+                    placed.setdefault(mask, []).append((seeds(p[places[0] : places[-1] + 1], mask, len(MASKS)), self.first[k : k + 1] + places[0]))
+        for mask, found in placed.items():
+            salt = MASKS.index(mask) if mask in MASKS else len(MASKS)
             keys, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             bits = max(16, int(np.ceil(np.log2(len(keys) * 16 + 1))))
             filled = np.zeros(1 << bits, bool)
             filled[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.tables.append((keys, at[order], filled, np.uint64(64 - bits)))
+            self.tables.append((mask, salt, keys, at[order], filled, np.uint64(64 - bits)))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of equal seeds: in ``hashes``, and in the block's words."""
         ours, theirs = [], []
-        for (keys, at, filled, shift), (salt, mask) in zip(self.tables, enumerate(MASKS), strict=True):
+        for mask, salt, keys, at, filled, shift in self.tables:
             own = seeds(hashes, mask, salt)
             maybe = np.flatnonzero(filled[(own >> shift).astype(np.int64)])
             low, high = (np.searchsorted(keys, own[maybe], side) for side in ("left", "right"))

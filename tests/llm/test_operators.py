@@ -347,3 +347,20 @@ def test_html_shows_formulas_drawings_and_forms(page, text):
 )
 def test_html_columns_of_wide_and_tall_cells(page, text):
     assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("n", range(5, 13))
+def test_short_items_with_substitutions(n):
+    """Every choice of substitutions that leaves 80% of a short item is found, and none beyond."""
+    from itertools import combinations
+    from math import ceil
+
+    item = [f"i{k}" for k in range(n)]
+    held = lambda w: decontaminate._words([" ".join(w)])[0].view(np.int64)
+    index = decontaminate.Index([{"item_id": 1, "item_words": n, "hashes": held(item)}, {"item_id": 2, "item_words": 40, "hashes": held([f"k{k}" for k in range(40)])}])
+    most = n - ceil(decontaminate.SHARE * n)
+    for m in range(most + 2):
+        gone = list(combinations(range(n), m))
+        texts = [" ".join(["x"] * 7 + [f"o{k}" if k in g else w for k, w in enumerate(item)] + ["y"] * 3) for g in gone]
+        found = {(t, b, e) for t, _, b, e, *_ in decontaminate.overlaps(index, *decontaminate._words(texts))}
+        assert found == ({(t, 7, 7 + n) for t in range(len(texts))} if m <= most else set())
