@@ -2,18 +2,23 @@
 
 1. One pass over the texts makes each document's set of word shingles, one hash per bin of a single permutation, and
    fills empty bins from the first bin that holds a value in an order of its own for each bin (optimal densification).
-2. Documents with equal sets collapse to one node before anything is paired.
-3. Runs of bins form bands; equal bands form buckets. Two documents meet in the first band they share. A bucket sends edges from a centre to its other members, so its
-   pairs grow with its size, not with the square. A centre has then met its whole bucket and leaves it; buckets that
-   still hold members of different components go round again with more centres, until none is left. No pair that
-   shares a bucket is lost, and members that are connected already are never paired.
+2. Equal sets collapse to one node before anything is paired; a node is named by a 64-bit hash of its set.
+3. Runs of bins form bands; equal bands form buckets. A bucket sends edges from one centre to its other members, so its
+   pairs grow with its size, not with the square. Each band draws centres in an order of its own.
 4. Every edge is confirmed on the full sets, and components come from alternating star contractions.
+5. What a star may have missed are links inside buckets whose members are still of several components. In buckets of at
+   most ``FEW`` others each member meets the rest. Larger ones, such as pages around one boilerplate, are searched by
+   shingles instead: a shingle is rare if at most ``FEW`` of their documents hold it, and by the prefix rule a linked pair
+   that shares any rare shingle shares one among the rarest ``n - ceil(t n) + 1`` of both. A pair without one can reach
+   the similarity ``t`` only if in one of the two at least ``2 t / (1 + t)`` of the shingles are not rare; those few
+   meet their buckets as further centres, and leave them then. No pair that shares a bucket is passed over by this.
 
 Texts are never shuffled: a second scan fetches the sets of documents that share a bucket. Nothing is collected to the driver
-but counts.
+but counts and a bitmap of bounded size.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null id is linked with nothing,
-gets a null component and is kept; rows that repeat an id are one document of the graph; an empty table gives none.
+gets a null component and is kept; rows that repeat an id are one document, which has one component even if their
+texts differ; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,14 +36,15 @@ from .common import _ODD, cut, in_chunks, mix, release, stored, word_hashes
 WIDTH = 5  # words in a shingle
 BANDS, ROWS = 32, 8  # at similarity 0.85, one pair in 25,000 shares no bucket
 BINS = BANDS * ROWS
-FIRST_CENTRES, MORE_CENTRES = 1, 4
-FILTER_BITS = 29  # at most 64 MB of bitmap
-ALIKE = 0.09  # how far the share of equal hash bytes may lie under the similarity asked for; four standard deviations
+FEW = 20  # members of a bucket, or holders of a shingle, that meet pair by pair
+MORE_CENTRES = 4  # further centres of a large bucket, and how their number grows from round to round
+MOST_WANTED = 1 << 22  # documents that a bitmap picks, of 16 bits each (8 MB); more are picked by a join
+ALIKE = 0.12  # how far the share of equal hash bytes may lie under the similarity asked for; over five standard deviations
 
 _order = np.random.default_rng(7)
 _PROBE = np.stack([_order.permutation(BINS) for _ in range(BINS)]).astype(np.int16)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 8)
-_SALT = mix(np.arange(1, 3, dtype=np.uint64))
+_SALT = mix(np.arange(1, 2 + BANDS, dtype=np.uint64))
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -73,55 +79,65 @@ def bands_of(found: np.ndarray) -> np.ndarray:
     return value.astype(np.uint8).view(np.int64)
 
 
+def node_of(found: np.ndarray) -> int:
+    """The name of a non-empty set: a long that depends on nothing but its shingles."""
+    return int(mix(found ^ _SALT[0]).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for begin, end in in_chunks(texts, lambda t: len(t or "")):
-            n, one, two, bands = [], [], [], []
-            for s in shingle_sets(texts[begin:end]):
-                n.append(len(s))
-                one.append(int(mix(s ^ _SALT[0]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
-                two.append(int(mix(s ^ _SALT[1]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
-                bands.append(bands_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "h1", "h2", "bands"],
-            )
+            sets = shingle_sets(texts[begin:end])
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bands_of(s) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+            keys = [batch.column(k).slice(begin, end - begin) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, *own], ["id", "row", "n_shingles", "node", "bands"])
 
 
-def _sets(wanted: Broadcast):
-    """The sets of documents whose bit is set; columns: node, bit, text."""
+def _sets(wanted: Broadcast | None):
+    """The sets of the documents whose bit is set, of all without a bitmap; columns: bit, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
+        bits = np.frombuffer(wanted.value, np.uint8) if wanted else None
         for batch in batches:
-            at = batch.column(1).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
-            texts = batch.column(2).to_pylist()
+            if wanted:
+                at = batch.column(0).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            texts = batch.column(1).to_pylist()
             for begin, end in in_chunks(texts, lambda t: len(t or "")):
-                sets = [s.view(np.int64) for s in shingle_sets(texts[begin:end])]
-                marks = pa.array([np.unique(s.astype(np.int16)) for s in sets], pa.list_(pa.int16()))
-                n = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), n, marks, pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "marks", "shingles"])
+                sets = [s for s in shingle_sets(texts[begin:end]) if len(s)]
+                columns = [
+                    pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([np.unique(s.astype(np.uint16).view(np.int16)) for s in sets], pa.list_(pa.int16())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "bands", "marks", "shingles"])
 
     return run
 
 
 def _wanted_sets(narrow: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, n, marks, shingles) of at least the documents in ``need``.
+    """(node, n, bands, marks, shingles), a row for each of at least the nodes in ``need`` (id, node): ``id`` is a document with that set.
 
-    A bitmap of hashed ids, 16 bits for each up to ``FILTER_BITS`` in all, lets a scan of the texts pass over nearly
-    all others without moving a text. Its size has a fixed bound; a fuller bitmap only lets more sets through.
+    Up to ``MOST_WANTED`` nodes a bitmap of hashed ids lets a scan of the texts pass over nearly all others without
+    moving a text; for more, the texts are joined with the ids.
     """
-    n_bits = 1 << min(max(16 * need.count(), 1 << 16).bit_length(), FILTER_BITS)
-    bit = F.pmod(F.xxhash64("node"), F.lit(n_bits))
-    bits = np.zeros(n_bits >> 3, np.uint8)
-    words = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("value"))
-    found = words.toArrow()
-    bits.view(np.uint32)[found["word"].to_numpy()] = found["value"].to_numpy().astype(np.uint32)
-    wanted = narrow.sparkSession.sparkContext.broadcast(bits.tobytes())
-    rows = narrow.filter("id IS NOT NULL").select(F.col("id").alias("node"), "text").select("node", bit.alias("bit"), "text")
-    return rows.mapInArrow(_sets(wanted), "node long, n int, marks array<smallint>, shingles array<long>")
+    n_need = need.count()
+    schema = "node long, n int, bands array<long>, marks array<smallint>, shingles array<long>"
+    if n_need > MOST_WANTED:
+        sets = narrow.join(need.select("id").distinct(), "id", "left_semi").select(F.lit(0).alias("bit"), "text").mapInArrow(_sets(None), schema)
+    else:
+        n_bits = 1 << max(16 * n_need, 1 << 16).bit_length()
+        bit = F.pmod(F.xxhash64("id"), F.lit(n_bits))
+        bits = np.zeros(n_bits >> 3, np.uint8)
+        words = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("value"))
+        found = words.toArrow()
+        bits.view(np.uint32)[found["word"].to_numpy()] = found["value"].to_numpy().astype(np.uint32)
+        wanted = narrow.sparkSession.sparkContext.broadcast(bits.tobytes())
+        sets = narrow.filter("id IS NOT NULL").select(bit.alias("bit"), "text").mapInArrow(_sets(wanted), schema)
+    sets = stored(sets, "sets")
+    if sets.select("node").distinct().count() < sets.count():  # rows that repeat an id
+        sets = stored(sets.dropDuplicates(["node"]), "sets")
+    return sets
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,94 +167,158 @@ def components(links: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * shared >= per_cent * joint.
 
-    Pairs first meet in marks of 16 bits a shingle, a quarter of the bytes. What these share, and what they may have
-    lost to equal marks within a set, bounds the shared shingles from above, so they only turn away pairs that fail;
-    the others are confirmed on the full sets.
+    Pairs first meet in sizes, in the bytes of their hashes, and in marks of 16 bits a shingle, a quarter of the bytes.
+    What the marks share, and what they may have lost to equal marks within a set, bounds the shared shingles from
+    above, so they only turn away pairs that fail; the others are confirmed on the full sets.
     """
 
-    def joined(rows: DataFrame, what: DataFrame, *columns: str) -> DataFrame:
+    def joined(rows: DataFrame, *columns: str) -> DataFrame:
         for side in ("b", "a"):
-            rows = rows.join(what.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+            rows = rows.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return rows
 
     def enough(shared: Column) -> Column:
         return 100 * shared >= per_cent * (F.col("n_a") + F.col("n_b") - shared)
 
-    bound = F.size(F.array_intersect("marks_a", "marks_b")) + F.least(F.col("n_a") - F.size("marks_a"), F.col("n_b") - F.size("marks_b"))
-    maybe = cut(joined(pairs, sets, "n", "marks").filter(enough(bound)).select("a", "b").distinct())
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return joined(maybe, sets, "n", "shingles").filter(enough(shared)).select("a", "b").distinct()
-
-
-def _may_link(per_cent: int) -> Column:
-    """Whether a member and a centre of its bucket must be compared: not of one component yet, sizes that allow the
-    similarity, hashes that do not rule it out, and no earlier band in which the two meet as well."""
-    sizes = 100 * F.least("n", "c_n") >= per_cent * F.greatest("n", "c_n")
-    first = F.get(F.filter(F.sequence(F.lit(0), F.col("band")), lambda k: F.get("bands", k) == F.get("c_bands", k)), F.lit(0)) == F.col("band")
-
     def equal_bytes(x: Column, y: Column) -> Column:
         z = x.bitwiseXOR(y)
         for bits, kept in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
             z = z.bitwiseOR(F.shiftrightunsigned(z, bits)).bitwiseAND(F.lit(kept))
         return F.lit(8) - F.bit_count(z)
 
-    alike = F.aggregate(F.zip_with("bands", "c_bands", equal_bytes), F.lit(0), lambda a, x: a + x)
-    return (F.col("node") != F.col("c_node")) & (F.col("label") != F.col("c_label")) & sizes & first & (alike >= int((per_cent / 100 - ALIKE) * BINS))
+    sizes = 100 * F.least("n_a", "n_b") >= per_cent * F.greatest("n_a", "n_b")
+    alike = F.aggregate(F.zip_with("bands_a", "bands_b", equal_bytes), F.lit(0), lambda a, x: a + x) >= int((per_cent / 100 - ALIKE) * BINS)
+    bound = F.size(F.array_intersect("marks_a", "marks_b")) + F.least(F.col("n_a") - F.size("marks_a"), F.col("n_b") - F.size("marks_b"))
+    maybe = cut(joined(pairs, "n", "bands", "marks").filter(sizes & alike & enough(bound)).select("a", "b"))
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return joined(maybe, "n", "shingles").filter(enough(shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``; links have ``100 * shared >= per_cent * joint`` shingles."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = stored(narrow.mapInArrow(_signatures, "id long, n_shingles long, h1 long, h2 long, bands array<long>"), "marks")
-    known = marks.filter("id IS NOT NULL AND h1 IS NOT NULL")
-    nodes = known.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bands")).alias("x")).select("h1", "h2", "x.*")
-    nodes = stored(nodes, "nodes")
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
-    keys = nodes.select(F.posexplode("bands").alias("band", "value"), "node")
-    full = keys.groupBy("band", "value").agg(F.count("*").alias("c")).filter("c > 1").select("band", "value")
-    members = keys.join(full, ["band", "value"], "left_semi")
-    members = stored(members.join(nodes.select("node", "n", "bands"), "node"), "members")
-    sets = stored(_wanted_sets(narrow, members.select("node").distinct()), "sets")
 
-    links, tested, labels = None, None, None
-    centres = FIRST_CENTRES
+def _open(here: DataFrame) -> DataFrame:
+    """The rows in buckets with members of several components, and how many members these have."""
+    spread = here.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("band", "value", "members")
+    return cut(here.join(cut(spread), ["band", "value"]))
+
+
+def _met(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of different components that meet in ``on``."""
+    other = y.select(*on, F.col("node").alias("o_node"), F.col("label").alias("o_label"))
+    return x.join(other, on).filter("label <> o_label").select(*_ordered("node", "o_node")).distinct()
+
+
+def _by_rare_shingles(hard: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(shingle, node, label) of the prefixes of ``hard`` (node, label), and its nodes in which few shingles are rare."""
+    own = sets.select("node", "n", "shingles").join(hard, "node")
+    held = own.select("node", F.explode("shingles").alias("shingle"))
+    # only rare shingles are joined, so none is the key of more than FEW rows
+    rare = held.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") <= FEW)
+    ranked = held.join(rare, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    ranked = stored(own.select("node", "label", "n").join(ranked, "node", "left").withColumn("n_rare", F.greatest(F.size("rare"), F.lit(0))), "rare")
+    prefix = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
+    # an item more guards the prefix against rounding
+    lists = ranked.select("node", "label", F.explode(F.slice("rare", F.lit(1), (prefix + 1).cast("int"))).alias("x")).filter("x.df > 1")
+    common = F.col("n") - F.col("n_rare")
+    return lists.select(F.col("x.shingle").alias("shingle"), "node", "label"), ranked.filter((100 + per_cent) * common >= 2 * per_cent * F.col("n")).select("node")
+
+
+def _links(marks: DataFrame, nodes: DataFrame, narrow: DataFrame, per_cent: int) -> DataFrame:
+    """The confirmed links (a, b) between nodes; they join all nodes that are linked, at least over others."""
+    keys = nodes.select(F.posexplode("bands").alias("band", "value"), "node")
+    salt = F.get(F.array(*[F.lit(int(x)) for x in _SALT[1:].view(np.int64)]), F.col("band"))
+    centres = keys.groupBy("band", "value").agg(F.count("*").alias("c"), F.min(F.col("node").bitwiseXOR(salt)).alias("first")).filter("c > 1")
+    centres = cut(centres.select("band", "value", F.col("first").bitwiseXOR(salt).alias("c_node")))
+    members = stored(keys.join(centres, ["band", "value"]), "members")
+    need = nodes.select("first", "node").join(members.select("node").distinct(), "node").select(F.col("first").alias("id"), "node")
+    sets = _wanted_sets(narrow, cut(need))
+
+    rest = members.filter("node <> c_node")
+    links = cut(_confirmed(cut(rest.select(*_ordered("node", "c_node")).distinct()), sets, per_cent))
+    labels = components(links)
+    here = _open(_labelled(rest.select("band", "value", "node"), labels))
+    if here.isEmpty():
+        return links
+    small, large = here.filter(F.col("members") <= FEW), here.filter(F.col("members") > FEW).drop("members")
+    pairs = _met(small, small, ["band", "value"])
+    hard = cut(large.select("node", "label").distinct())
+    slim = None
+    if not hard.isEmpty():
+        lists, slim = _by_rare_shingles(hard, sets, per_cent)
+        pairs = pairs.union(_met(lists, lists, ["shingle"])).distinct()
+    links = cut(links.union(_confirmed(cut(pairs), sets, per_cent)))
+    labels = components(links)
+    if slim is None:
+        return links
+    large = cut(large.drop("label").join(slim.withColumn("slim", F.lit(True)), "node", "left").withColumn("slim", F.col("slim").isNotNull()))
+    centres = MORE_CENTRES
     while True:
-        if labels is None:
-            here = members.withColumn("label", F.col("node"))
-            order = "node"
-        else:
-            here = members.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            mixed = here.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "value")
-            here = cut(here.join(mixed, ["band", "value"], "left_semi"))
-            if here.isEmpty():
-                break
-            here = here.withColumn("peers", F.expr("count(*) OVER (PARTITION BY band, value, label)"))
-            order = "peers, node"  # members of small components first: who has met the bucket leaves it
-        ranked = here.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY band, value ORDER BY {order})"))
-        middle = ranked.filter(F.col("rank") <= centres).select("band", "value", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "bands", "label")])
-        pairs = here.join(middle, ["band", "value"]).filter(_may_link(per_cent))
-        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = _confirmed(pairs, sets, per_cent)
-        links = cut(found if links is None else links.union(found))
-        tested = pairs if tested is None else tested.union(pairs)
+        here = _open(_labelled(large, labels)).drop("members")
+        place = F.expr("row_number() OVER (PARTITION BY band, value ORDER BY node)")
+        middle = cut(here.filter("slim").withColumn("place", place).filter(F.col("place") <= centres).select("band", "value", "node", "label"))
+        if middle.isEmpty():
+            return links
+        links = cut(links.union(_confirmed(cut(_met(here, middle, ["band", "value"])), sets, per_cent)))
         labels = components(links)
-        members = cut(here.select("band", "value", "node", "n", "bands").join(middle.select("band", "value", F.col("c_node").alias("node")), ["band", "value", "node"], "left_anti"))
+        large = cut(here.drop("label").join(middle.select("band", "value", "node"), ["band", "value", "node"], "left_anti"))
         centres *= MORE_CENTRES
-        release(docs.sparkSession)
+        release(marks.sparkSession)
+
+
+def _found(docs: DataFrame, per_cent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of ``docs`` (id, row, n_shingles, node), and the links between nodes."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    marks = stored(narrow.mapInArrow(_signatures, "id long, row long, n_shingles long, node long, bands array<long>"), "marks")
+    known = marks.filter("id IS NOT NULL AND node IS NOT NULL")
+    nodes = known.groupBy("node").agg(F.min(F.struct("id", "bands")).alias("x")).select("node", F.col("x.id").alias("first"), "x.bands")
+    nodes = stored(nodes, "nodes")
+    return marks.drop("bands"), _links(marks, nodes, narrow.drop("row"), per_cent)
 
-    roots = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
-    out = marks.select("id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``docs``; links have ``100 * shared >= per_cent * joint`` shingles."""
+    marks, links = _found(docs, per_cent, id_col, text_col)
+    # a blank row of an id is a node of its own; all nodes of an id are one document
+    rows = marks.withColumn("node", F.when(F.col("id").isNotNull(), F.coalesce("node", F.xxhash64("id", F.lit("blank")))))
+    several = rows.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("id", "lo")
+    same = rows.join(several, "id").filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    labels = components(links.union(same))
+    firsts = _labelled(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first")), labels)
+    smallest = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
+    component = cut(firsts.join(smallest, "label").select("node", "component_id"))
+    out = rows.join(component, "node", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def dedup_filter(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their group, with the columns of ``docs``; a row without an id stays.
+    """One row of ``docs`` of each group of linked texts, that of the smallest id, with the columns of ``docs``.
 
-    Rows that repeat an id, whatever their texts, stand or fall together.
+    Rows fall each by its own text: where an id repeats with different texts, no text goes unless one it is linked with
+    stays, and of rows that repeat id and text one stays. Rows without an id or a word stay.
     """
-    gone = near_duplicates(docs, per_cent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    marks, links = _found(docs, per_cent, id_col, text_col)
+    rows = marks.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("node", "id", "row").agg(F.count("*").alias("n"))
+    rows = stored(_labelled(rows, components(links)), "rows")
+    # the smallest id of a group, then the smallest hash of a text of that id
+    first = rows.groupBy("label").agg(F.min("id").alias("id"))
+    first = cut(rows.join(first, ["label", "id"]).groupBy("label", "id").agg(F.min("row").alias("row")))
+    gone = rows.join(first, ["label", "id", "row"], "left_anti").select("id", "row")
+    own_id, own_row = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    gone = gone.select(F.col("id").alias("__gone_id"), F.col("row").alias("__gone_row"))
+    kept = docs.join(gone, (own_id == F.col("__gone_id")) & (own_row == F.col("__gone_row")), "left_anti")
+    again = rows.filter("n > 1").join(first, ["label", "id", "row"], "left_semi").select(F.col("id").alias("__again_id"), F.col("row").alias("__again_row"))
+    if again.isEmpty():
+        return kept
+    again = cut(again)
+    same = (own_id == F.col("__again_id")) & (own_row == F.col("__again_row"))
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    repeats = kept.join(again, same, "left_semi").select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), own.alias("__doc"), F.to_json(own).alias("order"))
+    one = repeats.groupBy("i", "t").agg(F.min_by("__doc", "order").alias("__doc")).select("__doc.*")
+    return kept.join(again, same, "left_anti").unionByName(one)
