@@ -62,11 +62,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 form pair k; the even one is chosen."""
-    from .chat_format import preference_pairs
+    """Each conversation against its own history with the next one's last reply."""
+    from .chat_format import borrowed_replies, preference_pairs
 
-    conv = F.col("conv_id")
-    return preference_pairs(table(spark, sf_dir, "conversations"), F.floor(conv / 2), conv % 2 == 0)
+    return preference_pairs(borrowed_replies(table(spark, sf_dir, "conversations")), F.col("pair_id"), F.col("chosen"), "id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_near_duplicates": sql.NEAR_DUPLICATES,
+    "op8_preference_pairs": sql.PREFERENCE_PAIRS,
+    "op9_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
 }

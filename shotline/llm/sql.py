@@ -35,3 +35,44 @@ SELECT *, (NOT base_failed AND {" AND ".join(_rule(r) for r in RULES)}) AS kept
 """
 
 QUALITY_RULES = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({QUALITY_RULES_OF.format(table='documents')})"
+
+#: Links by counts of shared shingles, components as what can be reached.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN c cx ON cx.doc_id = x.doc_id JOIN c cy ON cy.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, cx.n, cy.n HAVING 100 * count(*) >= 85 * (cx.n + cy.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+_CLEAN = "replace(coalesce({0}, ''), '<|', '< |')"
+_SPANS = "coalesce(string_agg((b + length(head)) || ':' || (b + length(said) - 1), ',' ORDER BY i) FILTER (WHERE side = '{0}' AND i > n_common AND role = 'assistant'), '')"
+_SAID = "coalesce(string_agg(said, '' ORDER BY i) FILTER (WHERE side = '{0}' AND i {1} n_common), '')"
+
+PREFERENCE_PAIRS = f"""
+WITH last AS (SELECT conv_id, max(turn) AS upto FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT conv_id, upto, max(text) AS text FROM conversations JOIN last USING (conv_id) WHERE role = 'assistant' AND turn = upto GROUP BY conv_id, upto),
+heads AS (SELECT r.conv_id AS pair_id, r.upto, p.conv_id AS other, p.text AS answer FROM reply r LEFT JOIN reply p ON p.conv_id = r.conv_id + 1),
+sides AS (
+  SELECT pair_id, other, 'c' AS side, turn, role, text FROM conversations JOIN heads ON conv_id = pair_id WHERE turn <= upto
+  UNION ALL SELECT pair_id, other, 'r', turn, role, text FROM conversations JOIN heads ON conv_id = pair_id WHERE turn < upto AND other IS NOT NULL
+  UNION ALL SELECT pair_id, other, 'r', upto, 'assistant', answer FROM heads WHERE other IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS i, concat('<|im_start|>', {_CLEAN.format("role")}, chr(10)) AS head,
+  concat('<|im_start|>', {_CLEAN.format("role")}, chr(10), {_CLEAN.format("text")}, '<|im_end|>', chr(10)) AS said FROM sides),
+m AS (SELECT x.pair_id, x.i, x.role IS NOT DISTINCT FROM y.role AND x.text IS NOT DISTINCT FROM y.text AS same FROM n x JOIN n y ON x.pair_id = y.pair_id AND x.i = y.i AND x.side = 'c' AND y.side = 'r'),
+k AS (SELECT pair_id, coalesce(min(i) FILTER (WHERE NOT same) - 1, count(*)) AS n_common FROM m GROUP BY pair_id),
+q AS (SELECT n.*, coalesce(n_common, 0)::BIGINT AS n_common FROM n LEFT JOIN k USING (pair_id)),
+o AS (SELECT *, sum(length(said)) OVER (PARTITION BY pair_id, side, i > n_common ORDER BY i)::BIGINT - length(said) AS b FROM q)
+SELECT pair_id, pair_id AS chosen_id, other AS rejected_id, n_common, {_SAID.format("c", "<=")} AS prompt, {_SAID.format("c", ">")} AS chosen, CASE WHEN other IS NOT NULL THEN {_SAID.format("r", ">")} END AS rejected,
+  {_SPANS.format("c")} AS chosen_mask, CASE WHEN other IS NOT NULL THEN {_SPANS.format("r")} END AS rejected_mask
+FROM o GROUP BY pair_id, other, n_common
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
