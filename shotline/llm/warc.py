@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer, and a reader of what it wrote.
 
 Pages are cut into shards by ranges of page id whose bounds come from exact sums of payload bytes, never from samples, so
-a rerun makes the same files byte for byte. One shuffle brings a shard's pages together; the shard is sorted, every
+a rerun makes the same files byte for byte; pages of one id, or of none, that outweigh a shard are dealt to several by
+their digest. One shuffle brings a shard's pages together; the shard is sorted, every
 record gets headers and digests anew, and gzip members go to files that roll at ``roll_bytes`` compressed. A file is
 written under a temporary name and renamed when whole; a rerun of a lost task renames equal bytes over it. The manifest,
 committed last in the same way, names the files that count: readers open those and no others.
@@ -34,49 +35,69 @@ from .common import stored
 
 LEAST_REVISIT = 100
 SHARD_BYTES = 24 << 20  # of payload in a shard; what a task holds at once
-ROLL_BYTES = 8 << 20  # of a compressed file
+ROLL_BYTES = 8 << 20  # of a compressed file; the manifest, a row for each, passes through the driver, so raise both with the input
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
-CELLS = 4096
+CELLS = 1 << 16  # sums that one pass of the search for bounds may bring to the driver, and two for each heavy cell
+PIECE = 4096  # bytes that the reader first feeds to a record
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs
-_NO_ID = -(2**63)
 _FILES = "shard long, seq long, name string, bytes long, records long, sha256 string"
 
 
-def _bounds(keys: DataFrame, shard_bytes: int) -> list[int]:
-    """The first page id of each shard but the first: cells of equal width are summed and the heavy ones split again."""
+def _bounds(keys: DataFrame, shard_bytes: int) -> tuple[list[int], list[int]]:
+    """The first page id of each shard but the first, and how many parts each shard has.
+
+    Cells of equal width are summed, all heavy ones of a width are split again by one aggregate. A page id that alone
+    outweighs a shard is one of several parts. The lists grow by one number for ``shard_bytes`` of pages.
+    """
     low, high = keys.agg(F.min("id"), F.max("id")).first()
     if low is None:
-        return []
-    open_, sums = [(low, max(1, -(-(high - low + 1) // CELLS)))], {}
-    while open_:
-        heavy = []
-        for begin, width in open_:
-            at = keys.filter((F.col("id") >= begin) & (F.col("id") <= min(begin + width * CELLS - 1, 2**63 - 1))).withColumn("cell", F.expr(f"(id - ({begin}L)) div {width}L"))
-            for r in at.groupBy("cell").agg(F.sum("size").alias("bytes")).collect():
-                start = begin + r["cell"] * width
-                if r["bytes"] > shard_bytes and width > 1:
-                    heavy.append((start, max(1, -(-width // CELLS))))
-                else:
-                    sums[start] = r["bytes"]
-        open_ = heavy
-    out, held = [], 0
-    for start in sorted(sums):
-        if held and held + sums[start] > shard_bytes:
-            out.append(start)
+        return [], []
+    width = 1
+    while (high - low) // width >= CELLS:
+        width *= 2
+    begin = lambda w: F.coalesce(F.try_subtract(F.col("id"), F.pmod("id", F.lit(w))), F.lit(-(2**63)))
+    sums, here = {}, keys
+    while True:
+        found = dict(here.groupBy(begin(width).alias("at")).agg(F.sum("size")).collect())
+        heavy = [at for at, n in found.items() if n > shard_bytes and width > 1]
+        sums |= {at: n for at, n in found.items() if n <= shard_bytes or width == 1}
+        if not heavy:
+            break
+        known = keys.sparkSession.createDataFrame([(at,) for at in heavy], "heavy long")
+        here = keys.join(F.broadcast(known), begin(width) == F.col("heavy"), "left_semi")  # fewer than shards
+        fan = 2
+        while fan * len(heavy) <= CELLS // 2:
+            fan *= 2
+        width = max(1, width // fan)
+    starts, parts, held = [], [1], 0
+    for at in sorted(sums):
+        if held and held + sums[at] > shard_bytes:
+            starts.append(at)
+            parts.append(1)
             held = 0
-        held += sums[start]
-    return out
+        held += sums[at]
+        parts[-1] = max(1, -(-held // shard_bytes))
+    return starts, parts
 
 
-def _with_shard(bounds: list[int]):
-    """Adds a shard to batches whose first column is the page id."""
-    cuts = np.array(bounds, np.int64)
+def _with_shard(bounds: list[int], parts: list[int], no_id: int):
+    """Adds a shard to batches with the columns id and digest: pages without an id come first, in ``no_id`` shards."""
+    cuts, many = np.array(bounds, np.int64), np.array(parts or [1], np.int64)
+    first = no_id + np.cumsum(many) - many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            shard = pa.array(np.searchsorted(cuts, ids, "right").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([shard, *batch.columns], ["shard", *batch.schema.names])
+            ids = batch.column(0)
+            at = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+            shard, of = first[at], many[at]
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            shard[none], of[none] = 0, no_id
+            split = np.flatnonzero(of > 1)
+            if len(split):
+                digests = batch.column(batch.schema.get_field_index("digest")).take(pa.array(split)).to_pylist()
+                shard[split] += np.array([int(d[:12], 16) for d in digests], np.int64) % of[split]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", *batch.schema.names])
 
     return run
 
@@ -144,7 +165,7 @@ def _write_shard(folder: str, roll_bytes: int):
     def run(key: tuple, pages: pa.Table, repeated: pa.Table) -> pa.Table:
         first = dict(zip(repeated["digest"].to_pylist(), repeated["first"].to_pylist(), strict=True))
         roll, stored_here, turns = _Roll(folder, key[0].as_py() if pages.num_rows else 0, roll_bytes), set(), {}
-        pages = pages.set_column(pages.schema.get_field_index("id"), "id", pages["id"]).sort_by([("id", "ascending"), ("url", "ascending"), ("digest", "ascending")])
+        pages = pages.sort_by([("id", "ascending"), ("url", "ascending"), ("digest", "ascending")])
         for batch in pages.to_batches(max_chunksize=256):
             for page_id, url, digest, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "url", "digest", "html")), strict=True):
                 payload = (text or "").encode("utf-8", "surrogatepass")
@@ -167,28 +188,43 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.sha2(html.cast("binary"), 256).alias("digest"), html.alias("html"))
     keys = stored(rows.select("id", "digest", (F.octet_length("html") + 1).cast("long").alias("size")), "payloads")
-    cut = _with_shard(_bounds(keys.filter("id IS NOT NULL"), shard_bytes))
+    without = keys.agg(F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("size"))), F.lit(0))).first()[0]
+    no_id = -(-without // shard_bytes)
+    bounds, parts = _bounds(keys.filter("id IS NOT NULL"), shard_bytes)
+    cut = _with_shard(bounds, parts, no_id)
+    tasks = max(1, min(no_id + sum(parts), MOST_TASKS))
     repeated = keys.filter(F.col("size") > LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    # a shard is a task's work, up to MOST_TASKS tasks
     where = keys.select("id", "digest").mapInArrow(cut, "shard long, id long, digest string").select("shard", "digest").distinct()
     repeated = where.join(repeated, "digest").select("shard", "digest", "first")
     placed = rows.mapInArrow(cut, "shard long, id long, url string, digest string, html string")
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path)
-    files = placed.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_write_shard(folder, roll_bytes), _FILES)
+    files = placed.repartition(tasks, "shard").groupBy("shard").cogroup(repeated.repartition(tasks, "shard").groupBy("shard")).applyInArrow(_write_shard(folder, roll_bytes), _FILES)
     manifest = sorted((r.asDict() for r in files.collect()), key=lambda r: (r["shard"], r["seq"]))  # a row for each file
     temporary = f"{path}/_tmp-{uuid.uuid4().hex}-manifest.json"
     with store.open_output_stream(temporary) as out:
         out.write(json.dumps({"files": manifest}, indent=1).encode())
     store.move(temporary, f"{path}/manifest.json")
+    for left in store.get_file_info(fs.FileSelector(path)):  # by tasks that failed or were done twice
+        if left.base_name.startswith("_tmp-"):
+            store.delete_file(left.path)
     return manifest
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        whole = member.decompress(data) + member.flush()
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, pieces, step = zlib.decompressobj(31), [], PIECE
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the last record is cut off")
+            piece = view[at : at + step]
+            pieces.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+            step *= 2
+        whole = b"".join(pieces)
         head, _, rest = whole.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
