@@ -3,10 +3,10 @@
 All visible text comes out: blocks on lines of their own, paragraphs and headings set off by a blank line, list items
 with marks and indentation, table cells in aligned columns, preformatted text as it stands. Choices of a select and the
 lines of a textarea stand on lines of their own; formulas and the text of drawings run on in their line. Each page is handled alone,
-so a scan needs no shuffle and its memory is that of one page.
+so a scan needs no shuffle and its memory is that of one page. The tokenizer is linear in the page, whatever it holds.
 
 Defined results: null or empty HTML gives an empty text; broken markup is repaired as browsers do in the common cases
-and never raises; nesting past ``DEEPEST`` is flattened; a table whose alignment would add more than ``MOST_PADDING``
+and never raises; nesting past ``DEEPEST`` is flattened, but what is hidden there stays hidden; a table whose alignment would add more than ``MOST_PADDING``
 characters keeps its text but not all its columns in line; repeated rows are rendered each; an empty table gives none.
 """
 
@@ -53,9 +53,11 @@ _IMPLIED = {
     "a": ({"a"}, {"table", "td", "th"}),
     "body": ({"head"}, {"html"}),
 }
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)")
+_STOPS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _HEAD_ONLY = frozenset("head title style script meta link base template noscript".split())
 
@@ -67,6 +69,71 @@ class _Element:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class _Tags:
+    """Finds the markup of a page from left to right.
+
+    A tag ends at the first ``>`` outside quotes. A start that finds none is text, and so is any later one that runs
+    into a place where such a search has failed before; so no stretch is searched more than a few times.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.failed, self.stop = page, set(), None
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+
+    def _end(self, at: int) -> int:
+        """The place after the tag's end, or -1."""
+        seen = []
+        if at > self.last[">"]:
+            return -1
+        if not self.stop or self.stop.start() < at:  # searches begin further and further on
+            self.stop = _STOPS.search(self.page, at)
+        m = self.stop
+        while m and at <= self.last[">"] and m.start() not in self.failed:
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            if self.last[m[0]] <= m.start():
+                break
+            at = self.page.index(m[0], m.end()) + 1
+            m = _STOPS.search(self.page, at)
+        self.failed.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """Begin and end of the next markup, its tag (empty for comments and the like), whether it closes, its attributes."""
+        page, end = self.page, len(self.page)
+        while at <= self.last["<"]:
+            at = page.find("<", at)
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                return at, stop + 3 if stop >= 0 else end, "", False, ""
+            if page.startswith(("!", "?"), at + 1):
+                if at < self.last[">"]:
+                    return at, page.index(">", at) + 1, "", False, ""
+            elif m := _TAG_NAME.match(page, at + 1):
+                stop = self._end(m.end())
+                if stop >= 0:
+                    return at, stop, m[2].lower(), bool(m[1]), page[m.end() : stop - 1]
+            at += 1
+        return end, end, "", False, ""
+
+
+def _drop_unseen(e: _Element, unseen: bool = False) -> None:
+    """Take out the text of invisible elements; a visible one within them shows."""
+    kept = []
+    for c in e.children:
+        if isinstance(c, str):
+            if not unseen:
+                kept.append(c)
+            continue
+        found = _SEEN.findall(c.attrs.get("style", ""))
+        hidden = found[-1].lower() in ("hidden", "collapse") if found else unseen
+        _drop_unseen(c, hidden)
+        if c.children or not hidden or c.tag in ("td", "th"):
+            kept.append(c)
+    e.children = kept
+
+
 def parse(page: str) -> _Element:
     """The tree of a page."""
     root = _Element("html", {})
@@ -81,29 +148,37 @@ def parse(page: str) -> _Element:
             if stack[k].tag in walls:
                 return
 
+    def raw_end(tag: str, at: int) -> re.Match | None:
+        return re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+
     foreign = re.search(r"<(?:svg|math)\b", page, re.I) is not None
-    at, end = 0, len(page)
+    at, end, tags_of = 0, len(page), _Tags(page)
+    hiding: list = []  # a hidden element past DEEPEST: its tag, and how many of them are open
     while at < end:
-        m = _TOKEN.search(page, at)
-        upto = m.start() if m else end
-        if upto > at:
-            said = page[at:upto]
+        begin, stop, tag, closes, given = tags_of.next(at)
+        if begin > at and not hiding:
+            said = page[at:begin]
             if stack[-1].tag == "head" and said.strip():
                 close({"head"}, set())
             stack[-1].children.append(html.unescape(said) if "&" in said else said)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+        at = stop
+        if not tag:
+            continue
+        if hiding:
+            hiding[1] += (tag == hiding[0]) * (-1 if closes else 1)
+            if tag in _RAW and not closes:
+                found = raw_end(tag, at)
+                at = found.end() if found else end
+            if not hiding[1]:
+                hiding = []
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closes:
             if tag in ("br", "p") and not any(x.tag == tag for x in stack):
                 stack[-1].children.append(_Element(tag, {}))
             elif tag not in ("html", "body"):
                 close({tag}, {"table"} if tag not in ("table", "html") and tag not in _BLOCK else set())
             continue
-        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip(" /\t\n\r\f") else {}
+        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(given)} if given.strip(" /\t\n\r\f") else {}
         if tag == "html":
             continue
         within = foreign and next((x.tag for x in reversed(stack) if x.tag in ("svg", "math") or x.tag in _HOLDS_HTML), None)
@@ -126,16 +201,21 @@ def parse(page: str) -> _Element:
             stack[-1].children.append(row)
             stack.append(row)
         new = _Element(tag, attrs)
+        if len(stack) >= DEEPEST and tag not in _VOID and tag not in _RAW and not _visible(new):
+            hiding = [tag, 1]
+            continue
         stack[-1].children.append(new)
-        if foreign and m[3].endswith("/") and (tag in ("svg", "math") or within in ("svg", "math")):
+        if foreign and given.endswith("/") and (tag in ("svg", "math") or within in ("svg", "math")):
             continue
         if tag in _RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            said = page[at : stop.start() if stop else end]
+            found = raw_end(tag, at)
+            said = page[at : found.start() if found else end]
             new.children.append(html.unescape(said) if tag == "textarea" else said)
-            at = stop.end() if stop else end
+            at = found.end() if found else end
         elif tag not in _VOID and len(stack) < DEEPEST:
             stack.append(new)
+    if _SEEN.search(page):
+        _drop_unseen(root)
     return root
 
 
@@ -283,8 +363,9 @@ def _without(e: _Element) -> _Element:
 
 
 def _span(e: _Element, name: str) -> int:
+    """Columns that a cell takes; 1000 is the most that HTML allows."""
     given = e.attrs.get(name, "1")
-    return max(1, min(int(given), 100)) if re.fullmatch(r"\d{1,9}", given) else 1
+    return max(1, min(int(given), 1000)) if re.fullmatch(r"\d{1,9}", given) else 1
 
 
 def _rowspan(e: _Element) -> float:
