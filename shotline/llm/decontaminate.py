@@ -4,13 +4,15 @@ Fixed masks pick some word places of a window and ignore the others, so a copy w
 there still shares a seed with its source. The benchmark's seeds are joined with the seeds at every place of every
 document, and around each hit the two word sequences are laid side by side: an overlap counts where ``WINDOW``
 consecutive words (the whole item, if shorter) agree in at least ``SHARE`` of their places. Items shorter than a window
-have masks of their own, which leave out every choice of places that may differ.
+have masks of their own, which leave out every choice of places that may differ; those under five words are found as
+they stand. Hits come in pieces of ``HITS`` and are first held against the words next to them, whole pieces at once, so a
+phrase that many items share costs little where nothing else agrees.
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words, each a broadcast of bounded size; a
 larger benchmark takes more passes over the documents, never a larger broadcast. Documents are scanned whole and never
-shuffled. Words are runs of letters, digits and non-ASCII characters of the lower-cased text.
+shuffled, by the filter neither. Words are runs of letters, digits and non-ASCII characters of the lower-cased text.
 
-Defined results: a null or empty text holds nothing; items with under five words give no evidence; equal items count
+Defined results: a null or empty text holds nothing; items without words give no evidence, and one of a single word marks every text that has it (``least_words`` leaves such out); equal items count
 as the one of the smallest item_id; repeated documents are reported once each; empty tables give an empty result.
 """
 
@@ -22,6 +24,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 WINDOW, SHARE = 13, 0.8
 SEGMENT = 4096  # words of an item that are laid out at once; longer items become overlapping segments
 BLOCK_WORDS = 400_000  # words of the benchmark in one broadcast, about 40 MB with their seeds
+HITS = 50_000  # that are held against their surroundings at once, about 50 MB
 SCAN_COLUMNS = "id long, item_id long, doc_begin long, doc_end long, n_matched long, item_words long"
 
 _PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -63,6 +67,7 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word hashes of items, long ones in overlapping pieces."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for begin, end in in_chunks(texts, lambda t: len(t or "")):
@@ -71,7 +76,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(end - begin):
                 own = hashes[first[k] : first[k + 1]]
                 for at in range(0, max(len(own) - WINDOW + 1, 1), SEGMENT - WINDOW + 1):
-                    if len(own) >= len(MASKS[0]):
+                    if len(own):
                         rows.append((ids[begin + k], len(own), own[at : at + SEGMENT].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["item_id", "item_words", "hashes"]
@@ -104,55 +109,71 @@ class Index:
             filled[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.tables.append((mask, salt, keys, at[order], filled, np.uint64(64 - bits)))
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of equal seeds: in ``hashes``, and in the block's words."""
-        ours, theirs = [], []
+    def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of equal seeds, piece by piece: in ``hashes``, and in the block's words."""
         for mask, salt, keys, at, filled, shift in self.tables:
             own = seeds(hashes, mask, salt)
             maybe = np.flatnonzero(filled[(own >> shift).astype(np.int64)])
             low, high = (np.searchsorted(keys, own[maybe], side) for side in ("left", "right"))
-            n = high - low
-            ours.append(np.repeat(maybe, n))
-            theirs.append(at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return np.concatenate(ours), np.concatenate(theirs)
+            many = high - low
+            upto = np.cumsum(many)
+            begin = 0
+            while begin < len(maybe):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+                n = many[begin:end]
+                yield np.repeat(maybe[begin:end], n), at[np.repeat(low[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                begin = end
+
+
+def _agree(index: Index, hashes: np.ndarray, first: np.ndarray, p: np.ndarray, q: np.ndarray, text: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Whether some window around each hit has enough equal words; places beyond the text or the segment differ."""
+    around = np.arange(1 - WINDOW, WINDOW)
+    ours, theirs = p[:, None] + around, q[:, None] + around
+    same = (ours >= first[text][:, None]) & (ours < first[text + 1][:, None]) & (theirs >= index.first[segment][:, None]) & (theirs < index.first[segment + 1][:, None])
+    same &= hashes[np.clip(ours, 0, len(hashes) - 1)] == index.words[np.clip(theirs, 0, len(index.words) - 1)]
+    upto = np.concatenate([np.zeros((len(p), 1), np.int8), np.cumsum(same, axis=1, dtype=np.int8)], axis=1)
+    window = np.minimum(WINDOW, (index.first[segment + 1] - index.first[segment]))
+    out = np.zeros(len(p), bool)
+    for w in np.unique(window).tolist():
+        own = window == w
+        out[own] = ((upto[own, w:] - upto[own, :-w]) >= ceil(SHARE * w)).any(axis=1)
+    return out
 
 
 def overlaps(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(text, segment, begin, end, matched, item words) of the best overlap of each text with each segment."""
-    p, q = index.hits(hashes)
-    if not len(p):
-        return []
-    text, segment = np.searchsorted(first, p, "right") - 1, np.searchsorted(index.first, q, "right") - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for t, s, shift in np.unique(np.stack([text, segment, p - q]), axis=1).T.tolist():
-        begin, end = max(first[t], index.first[s] + shift), min(first[t + 1], index.first[s + 1] + shift)
-        window = min(WINDOW, int(index.first[s + 1] - index.first[s]))
-        if end - begin < window:
-            continue
-        same = np.concatenate([[0], np.cumsum(hashes[begin:end] == index.words[begin - shift : end - shift])])
-        good = np.flatnonzero(same[window:] - same[:-window] >= ceil(SHARE * window))
-        if len(good):
-            low, high = int(good[0]), int(good[-1]) + window
-            found = (int(same[high] - same[low]), int(begin - first[t]) + low, int(begin - first[t]) + high)
-            best[t, s] = max(best.get((t, s), (0, 0, 0)), found)
+    done: set[tuple[int, int, int]] = set()
+    for p, q in index.hits(hashes):
+        text, segment = np.searchsorted(first, p, "right") - 1, np.searchsorted(index.first, q, "right") - 1
+        near = _agree(index, hashes, first, p, q, text, segment)
+        for t, s, shift in np.unique(np.stack([text, segment, p - q])[:, near], axis=1).T.tolist():
+            if (t, s, shift) in done:
+                continue
+            done.add((t, s, shift))
+            begin, end = max(first[t], index.first[s] + shift), min(first[t + 1], index.first[s + 1] + shift)
+            window = min(WINDOW, int(index.first[s + 1] - index.first[s]))
+            if end - begin < window:
+                continue
+            same = np.concatenate([[0], np.cumsum(hashes[begin:end] == index.words[begin - shift : end - shift])])
+            good = np.flatnonzero(same[window:] - same[:-window] >= ceil(SHARE * window))
+            if len(good):
+                low, high = int(good[0]), int(good[-1]) + window
+                found = (int(same[high] - same[low]), int(begin - first[t]) + low, int(begin - first[t]) + high)
+                best[t, s] = max(best.get((t, s), (0, 0, 0)), found)
     return [(t, s, b, e, n, index.item_words[s]) for (t, s), (n, b, e) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each document row and benchmark item (each segment of a very long one) that overlap.
-
-    Columns: the id, item_id, doc_begin and doc_end (places in the document's words), n_matched (equal words there)
-    and item_words.
-    """
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int, least_words: int) -> list[Broadcast]:
+    """The benchmark's indexes, each of at most ``block_words`` words."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    items = items.mapInArrow(_segments, "item_id long, item_words long, hashes array<long>")
+    items = items.mapInArrow(_segments, "item_id long, item_words long, hashes array<long>").filter(F.col("item_words") >= least_words)
     items = cut(items.groupBy("hashes", "item_words").agg(F.min("item_id").alias("item_id")))
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     words = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     n_blocks = max(1, ceil(2 * words / block_words))  # blocks by hash: half full on average
     block = F.pmod(F.xxhash64("hashes"), F.lit(n_blocks))
-    out = None
+    out = []
     for k in range(n_blocks):
         rows, held = [], 0
         parts = []
@@ -162,18 +183,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows, held = [], 0
             rows.append(row)
             held += len(row["hashes"])
-        for part in [*parts, rows]:
-            if part:
-                found = narrow.mapInArrow(_scan(spark.sparkContext.broadcast(vars(Index(part)))), SCAN_COLUMNS)
-                out = found if out is None else out.unionAll(found)
-    out = out if out is not None else narrow.sparkSession.createDataFrame([], SCAN_COLUMNS)
+        out += [spark.sparkContext.broadcast(vars(Index(part))) for part in [*parts, rows] if part]
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, least_words: int = 1) -> DataFrame:
+    """A row for each document row and benchmark item (each segment of a very long one) that overlap.
+
+    Columns: the id, item_id, doc_begin and doc_end (places in the document's words), n_matched (equal words there)
+    and item_words. Items under ``least_words`` words are left out.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = None
+    for block in _blocks(benchmark, item_col, item_text_col, block_words, least_words):
+        found = narrow.mapInArrow(_scan(block), SCAN_COLUMNS)
+        out = found if out is None else out.unionAll(found)
+    out = out if out is not None else docs.sparkSession.createDataFrame([], SCAN_COLUMNS)
     return out.withColumnRenamed("id", id_col)
 
 
-def _scan(shared):
+def _shared(shared: Broadcast) -> Index:
+    index = Index.__new__(Index)
+    vars(index).update(shared.value)
+    return index
+
+
+def _scan(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index.__new__(Index)
-        vars(index).update(shared.value)
+        index = _shared(shared)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, end in in_chunks(texts, lambda t: len(t or "")):
@@ -186,11 +223,26 @@ def _scan(shared):
     return run
 
 
-def decontamination_filter(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: str | int) -> DataFrame:
-    """The rows of ``docs`` without an overlap, with the columns of ``docs``.
+def _clean(shared: Broadcast, text_at: int):
+    """Passes on the rows without an overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _shared(shared)
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            clean = np.ones(len(texts), bool)
+            for begin, end in in_chunks(texts, lambda t: len(t or "")):
+                clean[[begin + t for t, *_ in overlaps(index, *_words(texts[begin:end]))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def decontamination_filter(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, least_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` without an overlap, with the columns of ``docs``; each row stands or falls by its own text.
 
-    Rows are told apart by id and text, so rows that share an id fall each by its own text, and so do rows without an id.
+    One block of the benchmark after the other passes on what it leaves, so rows are neither shuffled nor joined.
     """
-    key = F.xxhash64(id_col, text_col)
-    hit = contaminated(docs.select(key.alias("k"), F.col(text_col).alias("text")), benchmark, "k", "text", **options).select("k").distinct()
-    return docs.join(hit.withColumnRenamed("k", "__hit"), key == F.col("__hit"), "left_anti")
+    for block in _blocks(benchmark, item_col, item_text_col, block_words, least_words):
+        docs = docs.mapInArrow(_clean(block, docs.columns.index(text_col)), docs.schema)
+    return docs

@@ -17,7 +17,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, stored
@@ -81,13 +81,18 @@ def tilts(counts: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     return state
 
 
+def _row(*names: str) -> Column:
+    """A hash of the columns that tells null from other values in each place."""
+    return F.xxhash64(*[c for n in names for c in (F.col(n).isNull(), F.col(n))])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, copies, taken, rate, row) for every row of ``docs``; ``row`` hashes its id, source and text.
 
     The choice of who gets a further copy goes by a hash of the id, so that reruns agree.
     """
     skey = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
-    narrow = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), skey.alias("skey"), n_words(F.col(text_col)).alias("size"), F.xxhash64(id_col, source_col, text_col).alias("row")), "words")
+    narrow = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), skey.alias("skey"), n_words(F.col(text_col)).alias("size"), _row(id_col, source_col, text_col).alias("row")), "words")
     counts = cut(narrow.groupBy("skey", "size").agg(F.count("*").alias("n"), F.min("source").alias("source")))
     goals = cut(targets(counts.groupBy("skey").agg(F.min("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("documents")), weights, share, most))
     state = tilts(counts.select("skey", "size", "n"), goals, most)
@@ -127,10 +132,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
-    Rows that agree in id, source and text share their copies evenly, rounded up.
+    Rows that agree in id, source and text share their copies as evenly as whole copies allow.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    taken = taken.groupBy(F.col("row").alias("__row")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("__copies")).filter("__copies > 0")
+    taken = taken.groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+    taken = stored(taken, "copies")
     own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("__doc")
-    rows = docs.select(own, F.xxhash64(id_col, source_col, text_col).alias("__row")).join(taken, "__row")
-    return rows.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__doc.*")
+    rows = docs.select(own, _row(id_col, source_col, text_col).alias("__row"))
+    each = lambda of, copies: of.select("__doc", F.explode(F.sequence(F.lit(1), copies))).select("__doc.*")
+    even = rows.join(taken.filter("__copies % __rows = 0"), "__row")
+    out = each(even, (F.col("__copies") / F.col("__rows")).cast("int"))
+    uneven = taken.filter("__copies % __rows <> 0")
+    if uneven.isEmpty():
+        return out
+    # rows that are equal in every column are counted first, so that one that repeats very often is no burden to one task
+    alike = rows.join(uneven, "__row").withColumn("__full", F.xxhash64(F.to_json("__doc")))
+    alike = alike.groupBy("__row", "__full", "__copies", "__rows").agg(F.count("*").alias("n"), F.first("__doc").alias("__doc"))
+    upto = F.expr("sum(n) OVER (PARTITION BY __row ORDER BY __full)")
+    share = lambda k: F.floor(F.col("__copies") * k / F.col("__rows"))
+    alike = alike.withColumn("upto", upto).withColumn("due", (share(F.col("upto")) - share(F.col("upto") - F.col("n"))).cast("int")).filter("due > 0")
+    return out.unionByName(each(alike, F.col("due")))

@@ -8,11 +8,12 @@ hashed to ``SLOTS`` places. The margin becomes a score between 0 and 1 by a logi
 the descent.
 
 The model is fitted on a bounded sample: of the training labels those ``MOST_ROWS`` with the smallest hash of their id,
-which reach the driver as arrays of slots. Scoring reads every whole text once, with a model of fixed size.
+of these the first whose slots are ``MOST_SLOTS`` together, which reach the driver as arrays of slots. Scoring reads every whole text once, with a model of fixed size.
 
 Defined results: a null or empty text has the score of no n-grams at all; a row of ``labels`` without a label, an id or
 a document is ignored, and of an id labelled twice differently the smallest label counts; with no labels of either class
-every score is the share of the class that there is (0.5 without labels); repeated rows score alike.
+every score is the share of the class that there is (0.5 without labels); repeated rows score alike; of documents that
+repeat a labelled id with different texts the smallest text is learned from.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, _SPACE, in_chunks, mix, word_hashes
+from .common import _ODD, _SPACE, in_chunks, mix, stored, word_hashes
 
 SLOTS = 1 << 18
 MOST_ROWS = 4000  # labelled rows that the fit sees, about 40 MB of slots
+MOST_SLOTS = 1 << 24  # of these rows together, 64 MB
 FOLDS = 5  # one of these holds rows for the curve
 PASSES, COST, SMOOTH = 12, 0.02, 1.0
 
@@ -149,12 +151,17 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), slots], ["id", "label", "slots"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: Column, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of ``label`` (1 or 0) over at most ``most_rows`` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, label: Column, most_rows: int = MOST_ROWS, most_slots: int = MOST_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of ``label`` (1 or 0) over at most ``most_rows`` labelled documents and ``most_slots`` of their slots."""
     known = labels.filter(F.col(id_col).isNotNull() & label.isNotNull()).groupBy(id_col).agg(F.min(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), id_col)  # at most most_rows rows
-    got = rows.select(F.col(id_col).cast("long").alias("id"), "label", "text").mapInArrow(_featurise, "id long, label int, slots array<int>").toArrow().sort_by("id")
+    rows = rows.groupBy(id_col, "label").agg(F.min("text").alias("text"))  # one for each id
+    found = rows.select(F.col(id_col).cast("long").alias("id"), "label", "text").mapInArrow(_featurise, "id long, label int, slots array<int>")
+    found = stored(found, "features")
+    upto = F.expr("sum(size(slots)) OVER (ORDER BY xxhash64(id), id)")  # at most most_rows narrow rows
+    taken = found.select("id", upto.alias("upto")).filter(F.col("upto") <= most_slots).select("id")
+    got = found.join(F.broadcast(taken), "id").toArrow().sort_by("id")
     y = np.array(got["label"].to_pylist(), np.int32)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
