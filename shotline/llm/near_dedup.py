@@ -9,9 +9,10 @@
 5. What a star may have missed are links inside buckets whose members are still of several components. In buckets of at
    most ``FEW`` others each member meets the rest. Larger ones, such as pages around one boilerplate, are searched by
    shingles instead: a shingle is rare if at most ``FEW`` of their documents hold it, and by the prefix rule a linked pair
-   that shares any rare shingle shares one among the rarest ``n - ceil(t n) + 1`` of both. A pair without one can reach
-   the similarity ``t`` only if in one of the two at least ``2 t / (1 + t)`` of the shingles are not rare; those few
-   meet their buckets as further centres, and leave them then. No pair that shares a bucket is passed over by this.
+   that shares any rare shingle shares one among the rarest ``n - ceil(t n) + 1`` of both. A pair without one shares at
+   most the ``c`` other shingles of either, so it can reach the similarity ``t`` only if ``c >= t n`` in both and
+   ``c >= 2 t / (1 + t) n`` in one of the two; those few meet their buckets as further centres, and leave them then. No
+   pair that shares a bucket is passed over by this.
 
 Texts are never shuffled: a second scan fetches the sets of documents that share a bucket. Nothing is collected to the driver
 but counts and a bitmap of bounded size.
@@ -37,7 +38,7 @@ WIDTH = 5  # words in a shingle
 BANDS, ROWS = 32, 8  # at similarity 0.85, one pair in 25,000 shares no bucket
 BINS = BANDS * ROWS
 FEW = 20  # members of a bucket, or holders of a shingle, that meet pair by pair
-MORE_CENTRES = 4  # further centres of a large bucket, and how their number grows from round to round
+MORE_CENTRES = 16  # further centres of a large bucket at first, and how their number grows from round to round
 MOST_WANTED = 1 << 22  # documents that a bitmap picks, of 16 bits each (8 MB); more are picked by a join
 ALIKE = 0.12  # how far the share of equal hash bytes may lie under the similarity asked for; over five standard deviations
 
@@ -209,14 +210,14 @@ def _open(here: DataFrame) -> DataFrame:
     return cut(here.join(cut(spread), ["band", "value"]))
 
 
-def _met(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of different components that meet in ``on``."""
-    other = y.select(*on, F.col("node").alias("o_node"), F.col("label").alias("o_label"))
-    return x.join(other, on).filter("label <> o_label").select(*_ordered("node", "o_node")).distinct()
+def _met(x: DataFrame, y: DataFrame, on: list[str], may: str = "true") -> DataFrame:
+    """Pairs of different components that meet in ``on``; columns of ``y`` have the prefix ``o_``."""
+    other = y.select(*on, *[F.col(c).alias(f"o_{c}") for c in y.columns if c not in on])
+    return x.join(other, on).filter("label <> o_label").filter(may).select(*_ordered("node", "o_node")).distinct()
 
 
 def _by_rare_shingles(hard: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """(shingle, node, label) of the prefixes of ``hard`` (node, label), and its nodes in which few shingles are rare."""
+    """(shingle, node, label) of the prefixes of ``hard`` (node, label), and (node, n, common) where few shingles are rare."""
     own = sets.select("node", "n", "shingles").join(hard, "node")
     held = own.select("node", F.explode("shingles").alias("shingle"))
     # only rare shingles are joined, so none is the key of more than FEW rows
@@ -226,8 +227,8 @@ def _by_rare_shingles(hard: DataFrame, sets: DataFrame, per_cent: int) -> tuple[
     prefix = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
     # an item more guards the prefix against rounding
     lists = ranked.select("node", "label", F.explode(F.slice("rare", F.lit(1), (prefix + 1).cast("int"))).alias("x")).filter("x.df > 1")
-    common = F.col("n") - F.col("n_rare")
-    return lists.select(F.col("x.shingle").alias("shingle"), "node", "label"), ranked.filter((100 + per_cent) * common >= 2 * per_cent * F.col("n")).select("node")
+    counts = ranked.select("node", "n", (F.col("n") - F.col("n_rare")).alias("common"))
+    return lists.select(F.col("x.shingle").alias("shingle"), "node", "label"), counts.filter(100 * F.col("common") >= per_cent * F.col("n"))
 
 
 def _links(marks: DataFrame, nodes: DataFrame, narrow: DataFrame, per_cent: int) -> DataFrame:
@@ -257,15 +258,17 @@ def _links(marks: DataFrame, nodes: DataFrame, narrow: DataFrame, per_cent: int)
     labels = components(links)
     if slim is None:
         return links
-    large = cut(large.drop("label").join(slim.withColumn("slim", F.lit(True)), "node", "left").withColumn("slim", F.col("slim").isNotNull()))
+    large = cut(large.drop("label").join(slim, "node"))
+    may = f"{100 + per_cent} * least(common, o_common) >= {per_cent} * (n + o_n) AND 100 * least(n, o_n) >= {per_cent} * greatest(n, o_n)"
     centres = MORE_CENTRES
     while True:
         here = _open(_labelled(large, labels)).drop("members")
         place = F.expr("row_number() OVER (PARTITION BY band, value ORDER BY node)")
-        middle = cut(here.filter("slim").withColumn("place", place).filter(F.col("place") <= centres).select("band", "value", "node", "label"))
+        slim = here.filter((100 + per_cent) * F.col("common") >= 2 * per_cent * F.col("n"))
+        middle = cut(slim.withColumn("place", place).filter(F.col("place") <= centres).drop("place"))
         if middle.isEmpty():
             return links
-        links = cut(links.union(_confirmed(cut(_met(here, middle, ["band", "value"])), sets, per_cent)))
+        links = cut(links.union(_confirmed(cut(_met(here, middle, ["band", "value"], may)), sets, per_cent)))
         labels = components(links)
         large = cut(here.drop("label").join(middle.select("band", "value", "node"), ["band", "value", "node"], "left_anti"))
         centres *= MORE_CENTRES
