@@ -11,8 +11,8 @@
    shingles instead: a shingle is rare if at most ``FEW`` of their documents hold it, and by the prefix rule a linked pair
    that shares any rare shingle shares one among the rarest ``n - ceil(t n) + 1`` of both. A pair without one shares at
    most the ``c`` other shingles of either, so it can reach the similarity ``t`` only if ``c >= t n`` in both and
-   ``c >= 2 t / (1 + t) n`` in one of the two; those few meet their buckets as further centres, and leave them then. No
-   pair that shares a bucket is passed over by this.
+   ``c >= 2 t / (1 + t) n`` in one of the two; those few are further centres of their buckets. No pair that shares a
+   bucket is passed over by this.
 
 Texts are never shuffled: a second scan fetches the sets of documents that share a bucket. Nothing is collected to the driver
 but counts and a bitmap of bounded size.
@@ -38,7 +38,7 @@ WIDTH = 5  # words in a shingle
 BANDS, ROWS = 32, 8  # at similarity 0.85, one pair in 25,000 shares no bucket
 BINS = BANDS * ROWS
 FEW = 20  # members of a bucket, or holders of a shingle, that meet pair by pair
-MORE_CENTRES = 16  # further centres of a large bucket at first, and how their number grows from round to round
+PLACES = 4  # of a document in the bitmap
 MOST_WANTED = 1 << 22  # documents that a bitmap picks, of 16 bits each (8 MB); more are picked by a join
 ALIKE = 0.12  # how far the share of equal hash bytes may lie under the similarity asked for; over five standard deviations
 
@@ -96,15 +96,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(wanted: Broadcast | None):
-    """The sets of the documents whose bit is set, of all without a bitmap; columns: bit, text."""
+    """The sets of the documents all whose bits are set, of all without a bitmap; columns: text, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8) if wanted else None
         for batch in batches:
             if wanted:
-                at = batch.column(0).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
-            texts = batch.column(1).to_pylist()
+                places = [batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(PLACES)]
+                batch = batch.filter(pa.array(np.logical_and.reduce([bits[at >> 3] >> (at & 7) & 1 for at in places])))
+            texts = batch.column(0).to_pylist()
             for begin, end in in_chunks(texts, lambda t: len(t or "")):
                 sets = [s for s in shingle_sets(texts[begin:end]) if len(s)]
                 columns = [
@@ -117,7 +117,7 @@ def _sets(wanted: Broadcast | None):
 
 
 def _wanted_sets(narrow: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, n, bands, marks, shingles), a row for each of at least the nodes in ``need`` (id, node): ``id`` is a document with that set.
+    """(node, n, bands, marks, shingles) of at least the nodes in ``need`` (id, node): ``id`` is a document with that set.
 
     Up to ``MOST_WANTED`` nodes a bitmap of hashed ids lets a scan of the texts pass over nearly all others without
     moving a text; for more, the texts are joined with the ids.
@@ -125,18 +125,19 @@ def _wanted_sets(narrow: DataFrame, need: DataFrame) -> DataFrame:
     n_need = need.count()
     schema = "node long, n int, bands array<long>, marks array<smallint>, shingles array<long>"
     if n_need > MOST_WANTED:
-        sets = narrow.join(need.select("id").distinct(), "id", "left_semi").select(F.lit(0).alias("bit"), "text").mapInArrow(_sets(None), schema)
+        sets = narrow.join(need.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(_sets(None), schema)
     else:
         n_bits = 1 << max(16 * n_need, 1 << 16).bit_length()
-        bit = F.pmod(F.xxhash64("id"), F.lit(n_bits))
+        places = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n_bits)) for k in range(PLACES)]
         bits = np.zeros(n_bits >> 3, np.uint8)
-        words = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("value"))
+        bit = need.select(F.explode(F.array(*places)).alias("bit"))
+        words = bit.groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("value"))
         found = words.toArrow()
         bits.view(np.uint32)[found["word"].to_numpy()] = found["value"].to_numpy().astype(np.uint32)
         wanted = narrow.sparkSession.sparkContext.broadcast(bits.tobytes())
-        sets = narrow.filter("id IS NOT NULL").select(bit.alias("bit"), "text").mapInArrow(_sets(wanted), schema)
+        sets = narrow.filter("id IS NOT NULL").select("text", *[x.alias(f"bit{k}") for k, x in enumerate(places)]).mapInArrow(_sets(wanted), schema)
     sets = stored(sets, "sets")
-    if sets.select("node").distinct().count() < sets.count():  # rows that repeat an id
+    if sets.count() > 1.1 * n_need:  # rows that repeat an id; a set that comes twice costs time, but changes nothing
         sets = stored(sets.dropDuplicates(["node"]), "sets")
     return sets
 
@@ -231,8 +232,12 @@ def _by_rare_shingles(hard: DataFrame, sets: DataFrame, per_cent: int) -> tuple[
     return lists.select(F.col("x.shingle").alias("shingle"), "node", "label"), counts.filter(100 * F.col("common") >= per_cent * F.col("n"))
 
 
-def _links(marks: DataFrame, nodes: DataFrame, narrow: DataFrame, per_cent: int) -> DataFrame:
-    """The confirmed links (a, b) between nodes; they join all nodes that are linked, at least over others."""
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _labels(nodes: DataFrame, narrow: DataFrame, per_cent: int) -> DataFrame:
+    """(node, root) of all nodes that are linked."""
     keys = nodes.select(F.posexplode("bands").alias("band", "value"), "node")
     salt = F.get(F.array(*[F.lit(int(x)) for x in _SALT[1:].view(np.int64)]), F.col("band"))
     centres = keys.groupBy("band", "value").agg(F.count("*").alias("c"), F.min(F.col("node").bitwiseXOR(salt)).alias("first")).filter("c > 1")
@@ -242,57 +247,41 @@ def _links(marks: DataFrame, nodes: DataFrame, narrow: DataFrame, per_cent: int)
     sets = _wanted_sets(narrow, cut(need))
 
     rest = members.filter("node <> c_node")
-    links = cut(_confirmed(cut(rest.select(*_ordered("node", "c_node")).distinct()), sets, per_cent))
-    labels = components(links)
+    labels = components(_confirmed(cut(rest.select(*_ordered("node", "c_node")).distinct()), sets, per_cent))
     here = _open(_labelled(rest.select("band", "value", "node"), labels))
     if here.isEmpty():
-        return links
+        return labels
     small, large = here.filter(F.col("members") <= FEW), here.filter(F.col("members") > FEW).drop("members")
     pairs = _met(small, small, ["band", "value"])
     hard = cut(large.select("node", "label").distinct())
-    slim = None
     if not hard.isEmpty():
         lists, slim = _by_rare_shingles(hard, sets, per_cent)
-        pairs = pairs.union(_met(lists, lists, ["shingle"])).distinct()
-    links = cut(links.union(_confirmed(cut(pairs), sets, per_cent)))
-    labels = components(links)
-    if slim is None:
-        return links
-    large = cut(large.drop("label").join(slim, "node"))
-    may = f"{100 + per_cent} * least(common, o_common) >= {per_cent} * (n + o_n) AND 100 * least(n, o_n) >= {per_cent} * greatest(n, o_n)"
-    centres = MORE_CENTRES
-    while True:
-        here = _open(_labelled(large, labels)).drop("members")
-        place = F.expr("row_number() OVER (PARTITION BY band, value ORDER BY node)")
-        slim = here.filter((100 + per_cent) * F.col("common") >= 2 * per_cent * F.col("n"))
-        middle = cut(slim.withColumn("place", place).filter(F.col("place") <= centres).drop("place"))
-        if middle.isEmpty():
-            return links
-        links = cut(links.union(_confirmed(cut(_met(here, middle, ["band", "value"], may)), sets, per_cent)))
-        labels = components(links)
-        large = cut(here.drop("label").join(middle.select("band", "value", "node"), ["band", "value", "node"], "left_anti"))
-        centres *= MORE_CENTRES
-        release(marks.sparkSession)
+        large = large.join(cut(slim), "node")
+        centres = large.filter((100 + per_cent) * F.col("common") >= 2 * per_cent * F.col("n"))
+        may = f"{100 + per_cent} * least(common, o_common) >= {per_cent} * (n + o_n) AND 100 * least(n, o_n) >= {per_cent} * greatest(n, o_n)"
+        pairs = pairs.union(_met(lists, lists, ["shingle"])).union(_met(large, centres, ["band", "value"], may)).distinct()
+    return components(_stars(labels).union(_confirmed(cut(pairs), sets, per_cent)))
 
 
 def _found(docs: DataFrame, per_cent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """A row for each row of ``docs`` (id, row, n_shingles, node), and the links between nodes."""
+    """A row for each row of ``docs`` (id, row, n_shingles, node), and (node, root) of the nodes that are linked."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     marks = stored(narrow.mapInArrow(_signatures, "id long, row long, n_shingles long, node long, bands array<long>"), "marks")
     known = marks.filter("id IS NOT NULL AND node IS NOT NULL")
     nodes = known.groupBy("node").agg(F.min(F.struct("id", "bands")).alias("x")).select("node", F.col("x.id").alias("first"), "x.bands")
     nodes = stored(nodes, "nodes")
-    return marks.drop("bands"), _links(marks, nodes, narrow.drop("row"), per_cent)
+    return marks.drop("bands"), _labels(nodes, narrow.drop("row"), per_cent)
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``; links have ``100 * shared >= per_cent * joint`` shingles."""
-    marks, links = _found(docs, per_cent, id_col, text_col)
+    marks, labels = _found(docs, per_cent, id_col, text_col)
     # a blank row of an id is a node of its own; all nodes of an id are one document
     rows = marks.withColumn("node", F.when(F.col("id").isNotNull(), F.coalesce("node", F.xxhash64("id", F.lit("blank")))))
-    several = rows.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("id", "lo")
-    same = rows.join(several, "id").filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(links.union(same))
+    several = cut(rows.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("id", "lo"))
+    if not several.isEmpty():
+        same = rows.join(several, "id").filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+        labels = components(_stars(labels).union(same))
     firsts = _labelled(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first")), labels)
     smallest = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
     component = cut(firsts.join(smallest, "label").select("node", "component_id"))
@@ -306,9 +295,9 @@ def dedup_filter(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", te
     Rows fall each by its own text: where an id repeats with different texts, no text goes unless one it is linked with
     stays, and of rows that repeat id and text one stays. Rows without an id or a word stay.
     """
-    marks, links = _found(docs, per_cent, id_col, text_col)
+    marks, labels = _found(docs, per_cent, id_col, text_col)
     rows = marks.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("node", "id", "row").agg(F.count("*").alias("n"))
-    rows = stored(_labelled(rows, components(links)), "rows")
+    rows = stored(_labelled(rows, labels), "rows")
     # the smallest id of a group, then the smallest hash of a text of that id
     first = rows.groupBy("label").agg(F.min("id").alias("id"))
     first = cut(rows.join(first, ["label", "id"]).groupBy("label", "id").agg(F.min("row").alias("row")))
