@@ -1,4 +1,9 @@
 import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -43,6 +48,18 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_text_operators(tmp_path, pipeline):
+    """A copy without their folders, with and without the pipeline's file, imports and has the other queries."""
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "shotline", tmp_path / "shotline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
+        shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e._shots.QUERIES), set(e.oracle_sql()) <= set(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "True"], done.stderr
+
+
 def clip(n=14, h=96, w=112, seed=0):
     rng = np.random.default_rng(seed)
     out, base = [], None
