@@ -11,8 +11,8 @@
    shingles instead: a shingle is rare if at most ``FEW`` of their documents hold it, and by the prefix rule a linked pair
    that shares any rare shingle shares one among the rarest ``n - ceil(t n) + 1`` of both. A pair without one shares at
    most the ``c`` other shingles of either, so it can reach the similarity ``t`` only if ``c >= t n`` in both and
-   ``c >= 2 t / (1 + t) n`` in one of the two; those few are further centres of their buckets. No pair that shares a
-   bucket is passed over by this.
+   ``c >= 2 t / (1 + t) n`` in one of the two; those few are further centres of their buckets, those with the fewest
+   rare shingles first, which leave them when they have met all. No pair that shares a bucket is passed over by this.
 
 Texts are never shuffled: a second scan fetches the sets of documents that share a bucket. Nothing is collected to the driver
 but counts and a bitmap of bounded size.
@@ -38,6 +38,7 @@ WIDTH = 5  # words in a shingle
 BANDS, ROWS = 32, 8  # at similarity 0.85, one pair in 25,000 shares no bucket
 BINS = BANDS * ROWS
 FEW = 20  # members of a bucket, or holders of a shingle, that meet pair by pair
+MORE_CENTRES = 16  # further centres of a large bucket at first, and how their number grows from round to round
 PLACES = 4  # of a document in the bitmap
 MOST_WANTED = 1 << 22  # documents that a bitmap picks, of 16 bits each (8 MB); more are picked by a join
 ALIKE = 0.12  # how far the share of equal hash bytes may lie under the similarity asked for; over five standard deviations
@@ -254,13 +255,34 @@ def _labels(nodes: DataFrame, narrow: DataFrame, per_cent: int) -> DataFrame:
     small, large = here.filter(F.col("members") <= FEW), here.filter(F.col("members") > FEW).drop("members")
     pairs = _met(small, small, ["band", "value"])
     hard = cut(large.select("node", "label").distinct())
-    if not hard.isEmpty():
-        lists, slim = _by_rare_shingles(hard, sets, per_cent)
-        large = large.join(cut(slim), "node")
-        centres = large.filter((100 + per_cent) * F.col("common") >= 2 * per_cent * F.col("n"))
-        may = f"{100 + per_cent} * least(common, o_common) >= {per_cent} * (n + o_n) AND 100 * least(n, o_n) >= {per_cent} * greatest(n, o_n)"
-        pairs = pairs.union(_met(lists, lists, ["shingle"])).union(_met(large, centres, ["band", "value"], may)).distinct()
-    return components(_stars(labels).union(_confirmed(cut(pairs), sets, per_cent)))
+    if hard.isEmpty():
+        return components(_stars(labels).union(_confirmed(cut(pairs), sets, per_cent)))
+    may = f"{100 + per_cent} * least(common, o_common) >= {per_cent} * (n + o_n) AND 100 * least(n, o_n) >= {per_cent} * greatest(n, o_n)"
+
+    def centres(rows: DataFrame, most: int) -> DataFrame:
+        """Of the members that may be centres those with the fewest rare shingles."""
+        slim = rows.filter((100 + per_cent) * F.col("common") >= 2 * per_cent * F.col("n"))
+        place = F.expr("row_number() OVER (PARTITION BY band, value ORDER BY n - common, node)")
+        return cut(slim.withColumn("place", place).filter(F.col("place") <= most).drop("place"))
+
+    lists, slim = _by_rare_shingles(hard, sets, per_cent)
+    large = cut(large.join(cut(slim), "node"))
+    most = MORE_CENTRES
+    middle = centres(large, most)
+    pairs = pairs.union(_met(lists, lists, ["shingle"])).union(_met(large, middle, ["band", "value"], may)).distinct()
+    labels = components(_stars(labels).union(_confirmed(cut(pairs), sets, per_cent)))
+    while True:
+        rest = large.drop("label").join(middle.select("band", "value", "node"), ["band", "value", "node"], "left_anti")
+        large = _open(_labelled(rest, labels)).drop("members")
+        most *= MORE_CENTRES
+        middle = centres(large, most)
+        if middle.isEmpty():
+            return labels
+        found = cut(_confirmed(cut(_met(large, middle, ["band", "value"], may)), sets, per_cent))
+        if not found.isEmpty():
+            labels = components(_stars(labels).union(found))
+        del rest, found
+        release(sets.sparkSession)
 
 
 def _found(docs: DataFrame, per_cent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
