@@ -58,7 +58,8 @@ class Layout:
                 raise ValueError(f"{path}: color space {color} is not read")
             chroma = 2 * (-(-w // 2)) * (-(-h // 2)) if color.startswith("420") else 2 * (-(-w // 2)) * h if color == "422" else int(_PLANES[color] * w * h)
             record = 6 + w * h + chroma
-            return cls(w, h, int(a) / int(b or 1), len(line) + 1, 6, record, (size - len(line) - 1) // record)
+            fps = int(a) / int(b or 1) if int(a) and int(b or 1) else 30.0  # unknown as 0:0
+            return cls(w, h, fps, len(line) + 1, 6, record, (size - len(line) - 1) // record)
         if not {"width", "height"} <= options.keys():
             raise ValueError(f"{path}: no video stream that can be read; raw frames need the options width and height")
         w, h = int(options["width"]), int(options["height"])
@@ -98,7 +99,9 @@ class _FrameReader(DataSourceReader):
         with _open(part.path) as f:
             for n in range(part.first, part.last):
                 if n % self.step == 0:
-                    f.seek(at.begin + n * at.record + at.skip)
+                    f.seek(at.begin + n * at.record)
+                    if at.skip and f.read(at.skip) != b"FRAME\n":
+                        raise ValueError(f"{part.path}: no plain frame header at frame {n}; headers with parameters are not read")
                     yield part.path, n, n / at.fps, at.width, at.height, at.width, f.read(at.width * at.height)
 
 

@@ -154,6 +154,15 @@ def test_sources(spark, tmp_path):
     assert [bytes(r["data"]) for r in read_pgm(spark, f"{tmp_path}/i*.pgm", 25, "i").orderBy("frame_number").collect()] == [p.tobytes() for p in pictures[:3]]
 
 
+def test_y4m_headers(spark, tmp_path):
+    y4m(tmp_path / "zero.y4m", clip(3), "0:0")
+    assert read_videos(spark, str(tmp_path / "zero.y4m")).first()["fps"] == 30
+    whole = (tmp_path / "zero.y4m").read_bytes()
+    (tmp_path / "odd.y4m").write_bytes(whole.replace(b"FRAME\n", b"FRAME Ip\n", 1))
+    with pytest.raises(Exception, match="frame header"):
+        read_frames(spark, str(tmp_path / "odd.y4m")).collect()
+
+
 def test_file_to_text(spark, tmp_path, monkeypatch, capsys):
     pictures = clip()
     y4m(tmp_path / "a.y4m", pictures, "25:1")
