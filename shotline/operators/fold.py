@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adaptive_intra, adaptive_score
 
 
+BLOCK = 256  # steps whose cuts are gathered at once, so that lists of cuts are not copied at each cut
+
+
 def is_cut(intra_key: Column, score: Column, since_cut: Column, base: tuple[int, int] = (2000, 90)) -> Column:
     return F.coalesce(intra_key > adaptive_intra(since_cut, base[0]), F.lit(False)) | (score > adaptive_score(since_cut, base[1]))
 
 
-def fold_cuts(scores: DataFrame, base: tuple[int, int] = (2000, 90), keys: tuple[str, ...] = ("video_id",), order: str = "frame_number") -> DataFrame:
-    """(keys, frame_number) of every cut. Two integers a frame are shuffled, once, by video; the fold runs in the JVM."""
-    step = F.struct(F.col(order).cast("long").alias("at"), F.col("intra_key").cast("int").alias("k"), F.col("ssad_score").cast("int").alias("s"))
-    start = F.struct(F.lit(1).alias("ic"), F.array().cast("array<long>").alias("cuts"))
+def fold_cuts(scores: DataFrame, base: tuple[int, int] = (2000, 90), keys: tuple[str, ...] = ("video_id",), order: str = "frame_number", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, frame_number, carry) of every cut. A few numbers a frame are shuffled, once, by video; the fold runs in the JVM.
+
+    ``carry`` names further columns of the scores that a cut keeps.
+    """
+    step = F.struct(F.col(order).cast("long").alias("at"), F.col("intra_key").cast("int").alias("k"), F.col("ssad_score").cast("int").alias("s"), *carry)
+    kind = ", ".join([f"`{order}`: bigint", *[f"`{c}`: {scores.schema[c].dataType.simpleString()}" for c in carry]])
+    none = F.array().cast(f"array<struct<{kind}>>")
 
     def follow(state: Column, x: Column) -> Column:
         cut = is_cut(x["k"], x["s"], state["ic"], base)
+        here = F.struct(x["at"].alias(order), *[x[c].alias(c) for c in carry])
         return F.struct(
             F.when(cut, F.lit(1)).otherwise(state["ic"] + 1).alias("ic"),
-            F.when(cut, F.concat(state["cuts"], F.array(x["at"]))).otherwise(state["cuts"]).alias("cuts"),
+            F.when(cut, F.concat(state["cuts"], F.array(here))).otherwise(state["cuts"]).alias("cuts"),
         )
 
+    def follow_block(state: Column, at: Column) -> Column:
+        found = F.aggregate(F.slice("steps", at, BLOCK), F.struct(state["ic"].alias("ic"), none.alias("cuts")), follow)
+        return F.transform(F.array(found), lambda x: F.struct(x["ic"].alias("ic"), F.concat(state["cuts"], F.array(x["cuts"])).alias("cuts")))[0]
+
     rows = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    return rows.select(*keys, F.explode(F.aggregate("steps", start, follow, lambda s: s["cuts"])).alias(order))
+    start = F.struct(F.lit(1).alias("ic"), F.array().cast(f"array<array<struct<{kind}>>>").alias("cuts"))
+    blocks = F.sequence(F.lit(1), F.size("steps"), F.lit(BLOCK))
+    return rows.select(*keys, F.inline(F.flatten(F.aggregate(blocks, start, follow_block, lambda s: s["cuts"]))))
 
 
-def smooth(cuts: DataFrame, scores: DataFrame, window: int, least: int, keys: tuple[str, ...] = ("video_id",), order: str = "frame_number") -> DataFrame:
-    """Keep a cut only if at least ``least`` of the ``window`` frames that end with it pass the score's base threshold."""
-    near = ", ".join(keys)
-    counted = scores.withColumn("hits", F.expr(f"sum(CAST(ssad_score > 90 AS INT)) OVER (PARTITION BY {near} ORDER BY {order} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"))
-    return cuts.join(counted.filter(F.col("hits") >= least).select(*keys, order), [*keys, order], "left_semi")
+def with_hits(scores: DataFrame, window: int, base: tuple[int, int] = (2000, 90), keys: tuple[str, ...] = ("video_id",), order: str = "frame_number") -> DataFrame:
+    """``scores`` with ``hits``: how many of the ``window`` frames that end with each pass a base threshold."""
+    passes = F.coalesce(F.col("intra_key") > base[0], F.lit(False)) | (F.col("ssad_score") > base[1])
+    return scores.withColumn("hits", F.sum(passes.cast("int")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - window, 0)))

@@ -19,10 +19,15 @@ _AROUND = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
 
 def clamp_pad(frames: np.ndarray) -> np.ndarray:
     """(n, h, w) pictures extended to whole blocks and by ``EDGE`` on every side with their border pixels."""
-    _, h, w = frames.shape
-    rows = np.clip(np.arange(-EDGE, -(-h // 16) * 16 + EDGE), 0, h - 1)
-    cols = np.clip(np.arange(-EDGE, -(-w // 16) * 16 + EDGE), 0, w - 1)
-    return np.take(np.take(frames, rows, axis=1), cols, axis=2)
+    n, h, w = frames.shape
+    out = np.empty((n, -(-h // 16) * 16 + 2 * EDGE, -(-w // 16) * 16 + 2 * EDGE), frames.dtype)
+    body = out[:, EDGE : EDGE + h]
+    body[:, :, EDGE : EDGE + w] = frames
+    body[:, :, :EDGE] = frames[:, :, :1]
+    body[:, :, EDGE + w :] = frames[:, :, -1:]
+    out[:, :EDGE] = body[:, :1]
+    out[:, EDGE + h :] = body[:, -1:]
+    return out
 
 
 def deviations(blocks: np.ndarray) -> np.ndarray:
@@ -31,12 +36,32 @@ def deviations(blocks: np.ndarray) -> np.ndarray:
     return np.abs(blocks.astype(np.int16) - mean[..., None, None].astype(np.int16)).sum(axis=(-1, -2), dtype=np.int32)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.maximum(a, b)
+    out -= np.minimum(a, b)
+    return out
+
+
+def _sums(pixels: np.ndarray) -> np.ndarray:
+    """Sums of the 16 by 16 blocks of (n, 16 a, 16 b) bytes; a lane of 16 bits takes two bytes of 16 rows."""
+    n, h, w = pixels.shape
+    two = pixels.view(np.uint16)
+    lanes = (two & 255) + (two >> 8)
+    rows = lanes.reshape(n, h // 16, 16, w // 2).sum(axis=2, dtype=np.uint16)
+    return rows.reshape(n, h // 16, w // 16, 8).sum(axis=3, dtype=np.int32)
+
+
 def _quarters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of absolute differences of the four quarters of (n, 32, 32) pictures: upper left, upper right, lower left, lower right."""
-    apart = np.maximum(a, b)
-    apart -= np.minimum(a, b)
-    rows = apart.reshape(-1, 2, 16, 32).sum(axis=2, dtype=np.uint16)
-    return rows.reshape(-1, 2, 2, 16).sum(axis=3, dtype=np.int32).reshape(-1, 4)
+    return _sums(_apart(a, b)).reshape(-1, 4)
+
+
+def picture_deviations(picture: np.ndarray) -> np.ndarray:
+    """``deviations`` of all blocks of one (16 a, 16 b) picture."""
+    h, w = picture.shape
+    picture = np.ascontiguousarray(picture)[None]
+    mean = np.repeat((_sums(picture) >> 8).astype(np.uint8), 16, axis=2)
+    return _sums(_apart(picture.reshape(h // 16, 16, w), mean.reshape(h // 16, 1, w)).reshape(1, h, w))[0]
 
 
 class _Search:
@@ -47,7 +72,9 @@ class _Search:
         self.down, self.across = (height + 15) // 16, (width + 15) // 16
         self.gy, self.gx = max(0, (self.down - 1) // 2), max(0, (self.across - 1) // 2)
         ref = np.concatenate([np.repeat(prev[:, :1], SPARE, axis=1), prev], axis=1).reshape(n, -1)
-        self.windows = as_strided(ref, (n, ref.shape[1] - 31 * self.stride - 31, 32, 32), (ref.strides[0], 1, self.stride, 1), writeable=False)
+        # a window is 32 rows of 32 bytes, copied a row at a time
+        self.windows = np.ndarray((n, ref.shape[1] - 31 * self.stride - 31, 32), "V32", ref, 0, (ref.strides[0], 1, self.stride))
+        self.prev, self.cur = prev, cur
         f, y, x = np.meshgrid(np.arange(n), np.arange(self.gy), np.arange(self.gx), indexing="ij")
         self.f, self.y, self.x = f.ravel(), 2 * y.ravel() + 1, 2 * x.ravel() + 1
         self.order = (x + y).ravel()
@@ -68,18 +95,30 @@ class _Search:
         g, v = g[inside], v[inside]
         if not len(g):
             return
-        found = _quarters(self.own[g], self.windows[self.f[g], self.base[g] + v[:, 1] * self.stride + v[:, 0]])
+        there = np.ascontiguousarray(self.windows[self.f[g], self.base[g] + v[:, 1] * self.stride + v[:, 0]])
+        found = _quarters(self.own[g], there.view(np.uint8).reshape(-1, 32, 32))
         sums = np.concatenate([found.sum(axis=1, keepdims=True), found], axis=1)
         better = sums < self.best[g]
         self.best[g] = np.where(better, sums, self.best[g])
         self.vec[g] = np.where(better[..., None], v[:, None], self.vec[g])
         self.dir[g] = np.where(better[:, 0], mark, self.dir[g])
 
+    def _rest(self) -> None:
+        """Every group where it stands, a picture at a time and without a gather."""
+        size = self.gy * self.gx
+        for k, (prev, cur) in enumerate(zip(self.inner(self.prev), self.inner(self.cur), strict=True)):
+            found = _sums(_apart(cur, prev)[None]).reshape(self.gy, 2, self.gx, 2).transpose(0, 2, 1, 3).reshape(size, 4)
+            self.best[k * size : (k + 1) * size, 1:] = found
+            self.best[k * size : (k + 1) * size, 0] = found.sum(axis=1)
+
+    def inner(self, pictures: np.ndarray) -> np.ndarray:
+        """The part of padded pictures that groups cover."""
+        return pictures[:, 16 : 16 + 32 * self.gy, 16 : 16 + 32 * self.gx]
+
     def run(self) -> None:
-        every = np.arange(len(self.f))
-        for at in range(0, len(every), 4096):
-            part = every[at : at + 4096]
-            self.attempt(part, np.zeros((len(part), 2), np.int32), 0)
+        if not len(self.f):
+            return
+        self._rest()
         hard = self.best[:, 0] > EASY
         self.bonus += ~hard
         if hard.any():
@@ -148,11 +187,11 @@ def analyse(prev: np.ndarray, cur: np.ndarray, code: int) -> dict[str, np.ndarra
     _, h, w = cur.shape
     s = _Search(clamp_pad(prev), padded := clamp_pad(cur), w, h, code)
     s.run()
-    blocks = padded.reshape(len(padded), padded.shape[1] // 16, 16, padded.shape[2] // 16, 16)
+    spread = np.array([picture_deviations(p) for p in s.inner(padded)]) if len(s.f) else np.zeros((len(cur), 1, 1), np.int32)
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("f", "x", "y", "vx", "vy", "sad", "dev")}
     for i in range(4):
         y, x = s.y + i // 2, s.x + i % 2
-        values = (s.f, x, y, s.vec[:, i, 0], s.vec[:, i, 1], np.maximum(0, s.best[:, i + 1] - 128 * s.bonus), deviations(blocks[s.f, y, :, x]))
+        values = (s.f, x, y, s.vec[:, i, 0], s.vec[:, i, 1], np.maximum(0, s.best[:, i + 1] - 128 * s.bonus), spread[s.f, y - 1, x - 1])
         for name, value in zip(out, values, strict=True):
             out[name].append(value)
     return {k: np.stack(v, 1).ravel() for k, v in out.items()}

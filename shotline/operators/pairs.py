@@ -1,6 +1,6 @@
 """Sampling, validation, pairing and scoring of frames.
 
-Frame bytes are the only heavy column, so they move at most once. ``score_frames`` deals frames to chunks of bounded
+Frame bytes are the only heavy column, so they are read once and move at most once. ``score_frames`` deals frames to chunks of bounded
 size and sends a chunk's last frame along with the next chunk, which replaces a sort of all frames by video: a task
 holds one chunk, a long video is many chunks, and what leaves the kernel is two integers a frame.
 """
@@ -89,7 +89,7 @@ def code_for(search_range: str, width: int, height: int) -> int:
     return {"small": 2, "large": 6}.get(search_range, 4)
 
 
-def _score_chunk(search_range: str, step: int):
+def _score_chunk(search_range: str, step: int, times: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("frame_number", "ascending")])
         number = table["frame_number"].to_pylist()
@@ -104,27 +104,31 @@ def _score_chunk(search_range: str, step: int):
         (w, h), n = next(iter(sizes)), len(number)
         pictures = _pictures(table["data"].to_pylist(), w, h, table["stride"].to_pylist())
         keys, scores, _ = _scored(pictures[1:], pictures[:-1], code_for(search_range, w, h), False)
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
-        values = ([key[0].as_py()] * (n - 1), number[1:], keys, scores)
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["video_id", "frame_number", "intra_key", "ssad_score"])
+        columns = [pa.array([key[0].as_py()] * (n - 1), pa.string()), pa.array(number[1:], pa.int64()), pa.array(keys, pa.int32()), pa.array(scores, pa.int32())]
+        names = ["video_id", "frame_number", "intra_key", "ssad_score"]
+        if times:
+            columns.append(table["pts"].slice(1))
+            names.append("pts")
+        return pa.Table.from_arrays(columns, names=names)
 
     return run
 
 
-def score_frames(frames: DataFrame, search_range: str = "medium", skip: int = 0, chunk_bytes: int = 64 << 20, frame_bytes: int | None = None) -> DataFrame:
-    """(video_id, frame_number, intra_key, ssad_score) of every kept frame but a video's first.
+def score_frames(frames: DataFrame, search_range: str = "medium", skip: int = 0, chunk_bytes: int = 64 << 20, frame_bytes: int | None = None, times: bool = False) -> DataFrame:
+    """(video_id, frame_number, intra_key, ssad_score) of every kept frame but a video's first; with ``times`` also its pts.
 
-    Frames of a video are numbered from 0 without gaps. ``frame_bytes`` bounds the bytes of one frame (else the largest
-    is looked up), so that a chunk stays within ``chunk_bytes``.
+    Frames of a video are numbered from 0 without gaps. A chunk stays within ``chunk_bytes``, or two frames; the bytes of
+    a frame are ``frame_bytes``, else each frame's rows by its stride, so no scan looks for the largest.
     """
     kept = sample(frames, skip)
-    largest = frame_bytes or kept.agg(F.max(F.length("data"))).first()[0] or 1
-    size = max(2, chunk_bytes // largest)
+    own_bytes = F.lit(frame_bytes) if frame_bytes else F.coalesce("stride", "width").cast("long") * F.col("height")
+    size = F.greatest(F.lit(2), F.floor(F.lit(chunk_bytes) / F.greatest(own_bytes, F.lit(1)))).cast("long")
     place = (F.col("frame_number") / (skip + 1)).cast("long")
     own = F.floor(place / size)
     homes = F.when((place + 1) % size == 0, F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo")), F.struct((own + 1).alias("chunk"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo"))))
-    dealt = kept.select("video_id", "frame_number", "width", "height", "stride", "data", F.inline(homes))
-    return dealt.groupBy("video_id", "chunk").applyInArrow(_score_chunk(search_range, skip + 1), PAIR_SCORES)
+    pts = [F.col("pts").cast("double").alias("pts")] if times else []
+    dealt = kept.select("video_id", "frame_number", "width", "height", "stride", "data", *pts, F.inline(homes))
+    return dealt.groupBy("video_id", "chunk").applyInArrow(_score_chunk(search_range, skip + 1, times), PAIR_SCORES + ", pts double" * times)
 
 
 def score_pairs(pairs: DataFrame, code: int = 4, blocks: bool = False) -> DataFrame:

@@ -5,43 +5,47 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import eta, percent, timecode
-from ..operators.fold import fold_cuts, smooth
+from ..operators.fold import fold_cuts, with_hits
 from ..operators.pairs import sample, score_frames, validate
 from ..options import Options
 
 
-def scenes_of(cuts: DataFrame, times: DataFrame, videos: DataFrame) -> DataFrame:
+def scenes_of(cuts: DataFrame, times: DataFrame | None, videos: DataFrame) -> DataFrame:
     """Scenes of every video: frame 0, also where no frame was read, and each cut with the time of its frame.
 
-    ``times``: (video_id, frame_number, pts).
+    ``times``: (video_id, frame_number, pts); None where cuts have a pts of their own.
     """
     seed = videos.select("video_id", F.lit(0).cast("long").alias("frame_number"), F.lit(0.0).alias("timestamp"))
-    found = cuts.join(times, ["video_id", "frame_number"]).select("video_id", "frame_number", F.col("pts").alias("timestamp"))
+    timed = cuts if times is None else cuts.join(times, ["video_id", "frame_number"])
+    found = timed.select("video_id", "frame_number", F.col("pts").alias("timestamp"))
     return seed.unionByName(found).select("*", timecode(F.col("timestamp")).alias("timecode"), F.lit(None).cast("double").alias("confidence"))
 
 
 def detect(frames: DataFrame, videos: DataFrame | None = None, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Scenes of all videos in ``frames``; order by video_id and frame_number to read them."""
+    """Scenes of all videos in ``frames``; order by video_id and frame_number to read them.
+
+    With ``videos`` given, ``frames`` is read once: times go along with the scores. With smoothing, a cut stays if
+    ``smoothing_min`` of the ``smoothing_window`` frames that end with it pass a base threshold.
+    """
     videos = videos if videos is not None else frames.select("video_id").distinct()
-    scores = score_frames(validate(frames), options.search_range, options.skip_frames, options.chunk_bytes)
-    if options.extended and options.smoothing_window > 1:
-        scores = scores.persist()
-    cuts = fold_cuts(scores, options.thresholds())
-    if options.extended and options.smoothing_window > 1:
-        cuts = smooth(cuts, scores, options.smoothing_window, options.smoothing_min)
-    return scenes_of(cuts, frames.select("video_id", "frame_number", "pts"), videos)
+    scores = score_frames(validate(frames), options.search_range, options.skip_frames, options.chunk_bytes, times=True)
+    if not (options.extended and options.smoothing_window > 1):
+        return scenes_of(fold_cuts(scores, options.thresholds(), carry=("pts",)), None, videos)
+    scores = with_hits(scores, options.smoothing_window, options.thresholds())
+    cuts = fold_cuts(scores, options.thresholds(), carry=("pts", "hits"))
+    return scenes_of(cuts.filter(F.col("hits") >= options.smoothing_min), None, videos)
 
 
-def progress(frames: DataFrame, videos: DataFrame, every: int = 30, skip: int = 0) -> DataFrame:
-    """A row for each kept frame that progress is told of, with the percentage; seconds are those of the video."""
+def progress(frames: DataFrame, videos: DataFrame, every: int = 30, skip: int = 0, elapsed: Column | None = None) -> DataFrame:
+    """A row for each kept frame that progress is told of, with the percentage; seconds are ``elapsed``, else those of the video."""
     kept = sample(frames.select("video_id", "frame_number", "pts"), skip).filter(F.col("frame_number") % every == 0)
     rows = kept.join(videos.select("video_id", "total_frames"), "video_id")
     current, total = F.col("frame_number"), F.col("total_frames")
-    return rows.select("video_id", current.alias("current_frame"), total, percent(current, total).cast("int").alias("percent"), eta(current, total, F.col("pts")).alias("eta"))
+    return rows.select("video_id", current.alias("current_frame"), total, percent(current, total).cast("int").alias("percent"), eta(current, total, F.col("pts") if elapsed is None else elapsed).alias("eta"))
 
 
 def result(scenes: DataFrame, videos: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def detect_scene_changes(spark: SparkSession, path: str, options: Options = Opti
     from ..sources import read_frames, read_videos
 
     began = time.perf_counter()
-    videos, frames = read_videos(spark, path), read_frames(spark, path)
+    videos, frames = read_videos(spark, path), read_frames(spark, path, skipFrames=options.skip_frames)
     rows = [r.asDict() for r in detect(frames, videos, options).orderBy("frame_number").collect()]
     scenes = [{"frameNumber": r["frame_number"], "timestamp": r["timestamp"], "timecode": r["timecode"]} for r in rows]
     meta = videos.first()
@@ -63,8 +67,12 @@ def detect_scene_changes(spark: SparkSession, path: str, options: Options = Opti
     kept = -(-meta["total_frames"] // (options.skip_frames + 1))
     for scene in scenes[1:] if on_scene else ():
         on_scene(scene)
-    for row in progress(frames.drop("data"), videos, skip=options.skip_frames).orderBy("current_frame").collect() if on_progress else ():
-        on_progress(row.asDict())
+    if on_progress and meta["total_frames"]:
+        # numbers and times follow from the metadata, without a frame; the time taken is spread evenly
+        number = F.col("frame_number")
+        numbers = videos.select("video_id", "fps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame_number")).withColumn("pts", number / F.col("fps"))
+        for row in progress(numbers, videos, skip=options.skip_frames, elapsed=number * (took / meta["total_frames"])).orderBy("current_frame").toLocalIterator():
+            on_progress(row.asDict())
     return {
         "scenes": scenes,
         "metadata": {"totalFrames": meta["total_frames"], "duration": meta["duration"], "fps": meta["fps"], "resolution": meta["resolution"].asDict()},

@@ -1,11 +1,13 @@
 """The fold over streams: cuts per video with keyed state of two numbers.
 
-Scores of a video come in order of frames over micro-batches; inside a batch they are sorted. A score at or before the
-last frame seen (a replay) is ignored, so at-least-once delivery gives each cut once.
+Scores of a video may come in any order: a score waits in the state until all before it are there. One at or before the
+last frame folded (a replay) is ignored, so at-least-once delivery gives each cut once. A gap that does not close fails
+the query once more than ``most_held`` scores wait for it, and no score is dropped.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,24 +15,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_cuts(scores: DataFrame, base: tuple[int, int] = (2000, 90)) -> DataFrame:
-    """(video_id, frame_number) of cuts from a stream with video_id, frame_number, intra_key, ssad_score."""
+def stream_cuts(scores: DataFrame, base: tuple[int, int] = (2000, 90), skip: int = 0, most_held: int = 100_000) -> DataFrame:
+    """(video_id, frame_number) of cuts from a stream with video_id, frame_number, intra_key, ssad_score.
+
+    Scores of a video are numbered ``skip + 1``, twice that, and so on, as ``score_frames`` gives them.
+    """
+    step = skip + 1
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last = state.get if state.exists else (1, -1)
-        rows = pd.concat(list(batches)).sort_values("frame_number")
+        since, last, held = state.get if state.exists else (1, 0, "[]")
+        waiting = {number: (intra, score) for number, intra, score in json.loads(held)}
+        for rows in batches:
+            for number, intra, score in zip(rows["frame_number"].tolist(), rows["intra_key"].tolist(), rows["ssad_score"].tolist(), strict=True):
+                if number > last:
+                    waiting[number] = (None if pd.isna(intra) else intra, score)
         cuts = []
-        for number, intra, score in zip(rows["frame_number"].tolist(), rows["intra_key"].tolist(), rows["ssad_score"].tolist(), strict=True):
-            if number <= last:
-                continue
-            last = number
+        while last + step in waiting:
+            last += step
+            intra, score = waiting.pop(last)
             t1 = base[0] + (15 * (10 - since) ** 2 if 0 < since < 10 else 0)
             t2 = base[1] + (4 * (30 - since) if 0 < since < 30 else 0)
-            hit = (not pd.isna(intra) and intra > t1) or score > t2
+            hit = (intra is not None and intra > t1) or score > t2
             since = 1 if hit else since + 1
             if hit:
-                cuts.append(number)
-        state.update((since, last))
+                cuts.append(last)
+        if len(waiting) > most_held:
+            raise ValueError(f"video {key[0]}: {len(waiting)} scores wait for frame {last + step}")
+        state.update((since, last, json.dumps([[n, *x] for n, x in sorted(waiting.items())])))
         yield pd.DataFrame({"video_id": [key[0]] * len(cuts), "frame_number": pd.Series(cuts, dtype="int64")})
 
-    return scores.groupBy("video_id").applyInPandasWithState(follow, "video_id string, frame_number long", "since int, last long", "append", GroupStateTimeout.NoTimeout)
+    return scores.groupBy("video_id").applyInPandasWithState(follow, "video_id string, frame_number long", "since int, last long, held string", "append", GroupStateTimeout.NoTimeout)
