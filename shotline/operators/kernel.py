@@ -89,19 +89,30 @@ class _Search:
         self.dir, self.bonus = np.zeros(k, np.int32), np.zeros(k, np.int32)
         self.field = np.zeros((n, self.down, self.across, 2), np.int32)
 
-    def attempt(self, g: np.ndarray, v: np.ndarray, mark: int) -> None:
-        """Try displacement ``v`` of each group of ``g``; the whole's winner leaves ``mark`` as its direction."""
-        inside = ((v >= self.low[g]) & (v <= self.high[g])).all(axis=1)
-        g, v = g[inside], v[inside]
-        if not len(g):
+    def attempt(self, g: np.ndarray, at: np.ndarray, steps: tuple[tuple[int, int], ...], marks: tuple[int, ...], on: np.ndarray | None = None) -> None:
+        """Try the displacements ``at`` + step of each group of ``g``, where ``on`` (a row a step) allows it.
+
+        The least sum wins, and the first of equal ones; the whole's winner leaves its mark as its direction.
+        """
+        step = np.array(steps, np.int32)
+        v = at[None] + step[:, None]
+        tried = ((v >= self.low[g]) & (v <= self.high[g])).all(axis=2)
+        if on is not None:
+            tried &= on
+        j, k = np.nonzero(tried)
+        if not len(j):
             return
-        there = np.ascontiguousarray(self.windows[self.f[g], self.base[g] + v[:, 1] * self.stride + v[:, 0]])
-        found = _quarters(self.own[g], there.view(np.uint8).reshape(-1, 32, 32))
-        sums = np.concatenate([found.sum(axis=1, keepdims=True), found], axis=1)
-        better = sums < self.best[g]
-        self.best[g] = np.where(better, sums, self.best[g])
-        self.vec[g] = np.where(better[..., None], v[:, None], self.vec[g])
-        self.dir[g] = np.where(better[:, 0], mark, self.dir[g])
+        own, v = g[k], v[j, k]
+        there = np.ascontiguousarray(self.windows[self.f[own], self.base[own] + v[:, 1] * self.stride + v[:, 0]])
+        found = _quarters(self.own[own], there.view(np.uint8).reshape(-1, 32, 32))
+        sums = np.full((len(steps), len(g), 5), WORST, np.int32)
+        sums[j, k, 0], sums[j, k, 1:] = found.sum(axis=1), found
+        best = sums.argmin(axis=0)
+        least = np.take_along_axis(sums, best[None], axis=0)[0]
+        better = least < self.best[g]
+        self.best[g] = np.where(better, least, self.best[g])
+        self.vec[g] = np.where(better[..., None], at[:, None] + step[best], self.vec[g])
+        self.dir[g] = np.where(better[:, 0], np.array(marks, np.int32)[best[:, 0]], self.dir[g])
 
     def _rest(self) -> None:
         """Every group where it stands, a picture at a time and without a gather."""
@@ -130,7 +141,7 @@ class _Search:
     def _wave(self, g: np.ndarray) -> None:
         guess = self._predicted(g)
         moved = guess.any(axis=1)
-        self.attempt(g[moved], guess[moved], 2)
+        self.attempt(g[moved], guess[moved], ((0, 0),), (2,))
         far = self.best[g, 0] > GOOD
         self.bonus[g] += ~far
         if far.any():
@@ -139,9 +150,7 @@ class _Search:
         self.bonus[g] += ~far
         near = g[far]
         if len(near):
-            middle = self.vec[near, 0].copy()
-            for step in _AROUND:
-                self.attempt(near, middle + np.array(step, np.int32), 0)
+            self.attempt(near, self.vec[near, 0], _AROUND, (0,) * 8)
         for i in range(4):
             self.field[self.f[g], self.y[g] + i // 2, self.x[g] + i % 2] = self.vec[g, i]
 
@@ -165,22 +174,19 @@ class _Search:
     def _diamond(self, g: np.ndarray, allowed: np.ndarray) -> None:
         while len(g):
             self.dir[g] = 0
-            at = self.vec[g, 0].copy()
-            for bit in (LEFT, RIGHT, UP, DOWN):
-                on = (allowed & bit) > 0
-                self.attempt(g[on], at[on] + np.array(_STEP[bit], np.int32), bit)
+            self._steps(g, (LEFT, RIGHT, UP, DOWN), [(allowed & bit) > 0 for bit in (LEFT, RIGHT, UP, DOWN)])
             going = self.dir[g] != 0
             g = g[going]
             if not len(g):
                 return
             allowed = self.dir[g].copy()
-            at = self.vec[g, 0].copy()
             flat = (allowed & (LEFT | RIGHT)) > 0
-            for on, bits in ((flat, (DOWN, UP)), (~flat, (RIGHT, LEFT))):
-                for bit in bits:
-                    self.attempt(g[on], at[on] + np.array(_STEP[bit], np.int32), bit)
+            self._steps(g, (DOWN, UP, RIGHT, LEFT), [flat, flat, ~flat, ~flat])
             allowed |= self.dir[g]
 
+    def _steps(self, g: np.ndarray, bits: tuple[int, ...], on: list[np.ndarray]) -> None:
+        self.attempt(g, self.vec[g, 0], tuple(_STEP[b] for b in bits), bits, np.array(on))
+
 
 def analyse(prev: np.ndarray, cur: np.ndarray, code: int) -> dict[str, np.ndarray]:
     """Block statistics of pairs of (n, h, w) pictures: f, x, y, vx, vy, sad, dev, one entry a block, in search order."""

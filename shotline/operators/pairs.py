@@ -18,6 +18,7 @@ from ..schema import BLOCKS, PAIR_SCORES
 from .kernel import analyse, pair_numbers
 
 MOST_SIDE = 8192
+SPREAD = 4  # partitions of chunks for each shuffle partition
 
 
 def sample(frames: DataFrame, skip: int) -> DataFrame:
@@ -128,7 +129,10 @@ def score_frames(frames: DataFrame, search_range: str = "medium", skip: int = 0,
     homes = F.when((place + 1) % size == 0, F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo")), F.struct((own + 1).alias("chunk"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo"))))
     pts = [F.col("pts").cast("double").alias("pts")] if times else []
     dealt = kept.select("video_id", "frame_number", "width", "height", "stride", "data", *pts, F.inline(homes))
-    return dealt.groupBy("video_id", "chunk").applyInArrow(_score_chunk(search_range, skip + 1, times), PAIR_SCORES + ", pts double" * times)
+    # a chunk is seconds of work: more partitions than usual, so that few tasks get several chunks while others have none
+    spark = frames.sparkSession
+    parts = SPREAD * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return dealt.repartition(parts, "video_id", "chunk").groupBy("video_id", "chunk").applyInArrow(_score_chunk(search_range, skip + 1, times), PAIR_SCORES + ", pts double" * times)
 
 
 def score_pairs(pairs: DataFrame, code: int = 4, blocks: bool = False) -> DataFrame:
