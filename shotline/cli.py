@@ -1,4 +1,7 @@
-"""Command line: ``python -m shotline.cli VIDEO [-o FILE] [-f FORMAT] [-s SENSITIVITY] [-q]``."""
+"""Command line: ``python -m shotline.cli VIDEO [-o FILE] [-f FORMAT] [-s SENSITIVITY] [-q] [-v]``.
+
+An unknown format is written as JSON, and a sensitivity of any other name counts as medium.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +19,11 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="shotline", description="Scene changes of a Y4M video.", exit_on_error=False)
     parser.add_argument("video", nargs="*")
     parser.add_argument("-o", "--output")
-    parser.add_argument("-f", "--format", default="json")
-    parser.add_argument("-s", "--sensitivity", default="medium", choices=SENSITIVITIES)
+    parser.add_argument("-f", "--format", default="aegisub", help="json, csv, aegisub or txt, timecode or tc, edl")
+    parser.add_argument("-s", "--sensitivity", default="medium", help=", ".join(SENSITIVITIES))
     parser.add_argument("-q", "--quiet", action="store_true")
-    parser.add_argument("-v", "--version", action="version", version=__version__)
+    parser.add_argument("-v", "--verbose", action="store_true")
+    parser.add_argument("--version", action="version", version=__version__)
     if not args:
         parser.print_help()
         return 0
@@ -37,21 +41,26 @@ def main(args: list[str] | None = None) -> int:
     from .plans import detect_scene_changes
 
     video = given.video[-1]
+    output = fixed_extension(given.output or default_output(video, given.format), given.format)
+    rule = "=" * 60
+    if not given.quiet:
+        print("\n".join(("Scene detection", rule, f"Input:  {Path(video).resolve()}", f"Size:   {Path(video).stat().st_size / 1048576:.2f} MB", f"Output: {Path(output).resolve()}", rule, "")))
     spark = SparkSession.builder.appName("shotline").getOrCreate()
     try:
-        found = detect_scene_changes(spark, str(Path(video).resolve()), Options(sensitivity=given.sensitivity))
+        found = detect_scene_changes(spark, str(Path(video).resolve()), Options(sensitivity=given.sensitivity if given.sensitivity in SENSITIVITIES else "medium"))
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     text = format_result(found, given.format)
-    output = fixed_extension(given.output or default_output(video, given.format), given.format)
     Path(output).write_text(text)
     if given.quiet:
         print(text)
     else:
-        print(f"{len(found['scenes'])} scenes, {found['metadata']['totalFrames'] / found['stats']['processingTime']:.1f} frames a second, written to {output}")
-        for s in found["scenes"]:
-            print(f"{s['frameNumber']:>8}  {s['timecode']}")
+        for k, s in enumerate(found["scenes"][1:] if given.verbose else (), 1):
+            print(f"  Scene {k}: Frame {s['frameNumber']} at {s['timecode']}")
+        took = found["stats"]["processingTime"]
+        print("\n".join((rule, "Complete!", rule, f"Scenes detected:  {len(found['scenes'])}", f"Processing time:  {took:.0f}s", f"Processing speed: {found['metadata']['totalFrames'] / took:.1f} fps", rule)))
+        print(text)
     return 0
 
 

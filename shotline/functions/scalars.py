@@ -124,14 +124,20 @@ def js_number(x: Column) -> Column:
     return F.when(whole & (F.abs(x) < 1e15), x.cast("long").cast("string")).when((F.abs(x) < 1e-3) & (F.abs(x) >= 1e-6), small).when(short.contains("E"), plain).otherwise(F.regexp_replace(short, r"\.0$", ""))
 
 
-NAMES = {"shot_timecode": timecode, "shot_parse_fps": parse_fps, "shot_duration": duration_text}
+# name: parameters, body
+SQL_FUNCTIONS = {
+    "shot_timecode": ("s DOUBLE", "format_string('%02d:%02d:%02d.%03d', floor(s / 3600), floor(pmod(s, 3600.0D) / 60), floor(pmod(s, 60.0D)), floor(pmod(s, 1.0D) * 1000))"),
+    "shot_threshold": ("s INT", "2000 + CASE WHEN s > 0 AND s < 10 THEN 15 * (10 - s) * (10 - s) ELSE 0 END"),
+    "shot_score_threshold": ("s INT", "90 + CASE WHEN s > 0 AND s < 30 THEN 4 * (30 - s) ELSE 0 END"),
+    "shot_percent": ("at BIGINT, total BIGINT", "floor(100.0D * at / nullif(total, 0) + 0.5D)"),
+    "shot_eta": ("at BIGINT, total BIGINT, elapsed DOUBLE", "CASE WHEN at > 0 AND elapsed > 0 THEN (total - at) / (at / elapsed) END"),
+    "shot_is_cut": ("intra INT, score INT, s INT", "coalesce(intra > 2000 + CASE WHEN s > 0 AND s < 10 THEN 15 * (10 - s) * (10 - s) ELSE 0 END, false) OR score > 90 + CASE WHEN s > 0 AND s < 30 THEN 4 * (30 - s) ELSE 0 END"),
+    "shot_megabytes": ("bytes BIGINT", "format_string('%.2f', bytes / 1048576.0D)"),
+}
+_RETURNS = {"shot_timecode": "STRING", "shot_threshold": "INT", "shot_score_threshold": "INT", "shot_percent": "BIGINT", "shot_eta": "DOUBLE", "shot_is_cut": "BOOLEAN", "shot_megabytes": "STRING"}
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the scalars of one argument, as SQL expressions rather than user functions."""
-    for name, body in (
-        ("shot_timecode", "format_string('%02d:%02d:%02d.%03d', floor(s / 3600), floor(pmod(s, 3600.0D) / 60), floor(pmod(s, 60.0D)), floor(pmod(s, 1.0D) * 1000))"),
-        ("shot_threshold", "2000 + CASE WHEN s > 0 AND s < 10 THEN 15 * (10 - s) * (10 - s) ELSE 0 END"),
-    ):
-        kind = "DOUBLE" if name == "shot_timecode" else "INT"
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s {kind}) RETURN {body}")
+    """The scalars under SQL names, as SQL expressions rather than user functions."""
+    for name, (parameters, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {_RETURNS[name]} RETURN {body}")

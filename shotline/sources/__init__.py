@@ -1,5 +1,6 @@
-"""Video sources: Y4M and raw gray files, PGM image sequences, frame tables."""
+"""Video sources: Y4M and raw gray files, PGM image sequences, frame tables, and files that a decoder program reads."""
 
+from .decoded import decoded_files, read_decoded
 from .video import FrameSource, VideoSource, extract_frame, read_frame_table, read_frames, read_pgm, read_videos, register
 
-__all__ = ["FrameSource", "VideoSource", "extract_frame", "read_frame_table", "read_frames", "read_pgm", "read_videos", "register"]
+__all__ = ["FrameSource", "VideoSource", "decoded_files", "extract_frame", "read_decoded", "read_frame_table", "read_frames", "read_pgm", "read_videos", "register"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from fractions import Fraction
 
 import pyarrow as pa
@@ -24,11 +25,46 @@ SPLIT_BYTES = 32 << 20
 _PLANES = {"mono": Fraction(0), "420": Fraction(1, 2), "420jpeg": Fraction(1, 2), "420mpeg2": Fraction(1, 2), "420paldv": Fraction(1, 2), "422": Fraction(1), "444": Fraction(2)}
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def _open(path: str):
-    store, own = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, own = _store(path)
     return store.open_input_file(own)
 
 
+def files_of(path: str) -> list[str]:
+    """The files that ``path`` names: a file, the files of a folder, a pattern in a folder's names, or several parted by commas."""
+    store, own = _store(path)
+    head = path.removesuffix(own) if path != own else ""
+    kind = store.get_file_info(own).type
+    folder, _, pattern = own.rpartition("/")
+    if kind == fs.FileType.Directory:
+        folder, pattern = own.rstrip("/"), "*"
+    elif kind == fs.FileType.NotFound and "," in path:
+        return [f for p in path.split(",") for f in files_of(p)]
+    elif kind != fs.FileType.NotFound or not any(c in pattern for c in "*?["):
+        return [path]
+    found = store.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+    names = sorted(i.base_name for i in found if i.type == fs.FileType.File and i.base_name[0] not in "._")
+    return [f"{head}{folder}/{n}" if folder else n for n in names if fnmatchcase(n, pattern)]
+
+
+def y4m_header(line: bytes, path: str) -> tuple[int, int, float, int]:
+    """Width, height, frames a second, and bytes of a frame after its luma, of a stream header."""
+    tags = {t[:1]: t[1:] for t in line.decode("ascii", "replace").split(" ")[1:] if t}
+    if not line.startswith(b"YUV4MPEG2") or not {"W", "H"} <= tags.keys():
+        raise ValueError(f"{path}: the Y4M header has no size")
+    w, h = int(tags["W"]), int(tags["H"])
+    a, _, b = tags.get("F", "30:1").partition(":")
+    color = tags.get("C", "420")
+    if color not in _PLANES:
+        raise ValueError(f"{path}: color space {color} is not read")
+    chroma = 2 * (-(-w // 2)) * (-(-h // 2)) if color.startswith("420") else 2 * (-(-w // 2)) * h if color == "422" else int(_PLANES[color] * w * h)
+    return w, h, int(a) / int(b or 1) if int(a) and int(b or 1) else 30.0, chroma  # unknown as 0:0
+
+
 @dataclass
 class Layout:
     """Where the frames of a file lie."""
@@ -47,19 +83,12 @@ class Layout:
             size = f.size()
             head = f.read(min(size, 4096))
         if head.startswith(b"YUV4MPEG2"):
-            line = head.split(b"\n", 1)[0]
-            tags = {t[:1]: t[1:] for t in line.decode("ascii", "replace").split(" ")[1:] if t}
-            if not {"W", "H"} <= tags.keys():
-                raise ValueError(f"{path}: the Y4M header has no size")
-            w, h = int(tags["W"]), int(tags["H"])
-            a, _, b = tags.get("F", "30:1").partition(":")
-            color = tags.get("C", "420")
-            if color not in _PLANES:
-                raise ValueError(f"{path}: color space {color} is not read")
-            chroma = 2 * (-(-w // 2)) * (-(-h // 2)) if color.startswith("420") else 2 * (-(-w // 2)) * h if color == "422" else int(_PLANES[color] * w * h)
-            record = 6 + w * h + chroma
-            fps = int(a) / int(b or 1) if int(a) and int(b or 1) else 30.0  # unknown as 0:0
-            return cls(w, h, fps, len(line) + 1, 6, record, (size - len(line) - 1) // record)
+            line, _, rest = head.partition(b"\n")
+            w, h, fps, chroma = y4m_header(line, path)
+            # frame headers with parameters are read if all are as long as the first one
+            skip = rest.find(b"\n") + 1 if rest.startswith(b"FRAME ") and b"\n" in rest else 6
+            record = skip + w * h + chroma
+            return cls(w, h, fps, len(line) + 1, skip, record, (size - len(line) - 1) // record)
         if not {"width", "height"} <= options.keys():
             raise ValueError(f"{path}: no video stream that can be read; raw frames need the options width and height")
         w, h = int(options["width"]), int(options["height"])
@@ -83,7 +112,7 @@ class _FrameReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         out = []
-        for path in self.options["path"].split(","):
+        for path in files_of(self.options["path"]):
             at = Layout.of(path, self.options)
             if self.only is not None:
                 out += [_Range(path, self.only, self.only + 1)] * (0 <= self.only < at.frames)
@@ -100,8 +129,9 @@ class _FrameReader(DataSourceReader):
             for n in range(part.first, part.last):
                 if n % self.step == 0:
                     f.seek(at.begin + n * at.record)
-                    if at.skip and f.read(at.skip) != b"FRAME\n":
-                        raise ValueError(f"{part.path}: no plain frame header at frame {n}; headers with parameters are not read")
+                    marker = f.read(at.skip)
+                    if at.skip and not (marker[:6] in (b"FRAME\n", b"FRAME ") and marker.find(b"\n") == at.skip - 1):
+                        raise ValueError(f"{part.path}: no frame header of {at.skip} bytes, like the first one, at frame {n}")
                     yield part.path, n, n / at.fps, at.width, at.height, at.width, f.read(at.width * at.height)
 
 
@@ -124,9 +154,11 @@ class _VideoReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[_Range]:
-        return [_Range(p, 0, 0) for p in self.options["path"].split(",")]
+        return [_Range(p, 0, 0) for p in files_of(self.options["path"])] or [_Range("", 0, 0)]
 
     def read(self, part: _Range):
+        if not part.path:
+            return
         at = Layout.of(part.path, self.options)
         yield part.path, at.frames, at.frames / at.fps, at.fps, (at.width, at.height)
 

@@ -18,7 +18,7 @@ from shotline.operators.pairs import pair_frames, score_frames, score_pairs, val
 from shotline.options import Options
 from shotline.plans import detect, detect_scene_changes
 from shotline.schema import FRAMES
-from shotline.sources import extract_frame, read_frames, read_pgm, read_videos
+from shotline.sources import decoded_files, extract_frame, read_decoded, read_frames, read_pgm, read_videos
 from shotline.streaming import stream_cuts
 
 from . import model
@@ -193,3 +193,75 @@ def test_scalars(spark):
         Options(sensitivity="none")
     S.register(spark)
     assert spark.sql("SELECT shot_timecode(1.5D), shot_threshold(1)").first() == ("00:00:01.500", 3215)
+
+
+def test_sql_names_equal_the_columns(spark):
+    S.register(spark)
+    rows = spark.range(0, 40).withColumns({"n": F.col("id").cast("int"), "e": F.col("id") / 7})
+    same = [("shot_score_threshold(n)", S.adaptive_score(F.col("n"), 90)), ("shot_threshold(n)", S.adaptive_intra(F.col("n"), 2000)), ("shot_percent(id, 39)", S.percent(F.col("id"), F.lit(39))), ("shot_eta(id, 50, e)", S.eta(F.col("id"), F.lit(50), F.col("e"))), ("shot_megabytes(id * 99999)", S.megabytes(F.col("id") * 99999)), ("shot_timecode(e * 1000)", S.timecode(F.col("e") * 1000))]
+    for r in rows.select(*[F.struct(F.expr(a).alias("a"), b.alias("b")) for a, b in same]).collect():
+        assert all(x.a == x.b for x in r)
+    assert spark.sql("SELECT shot_is_cut(NULL, 300, 1), shot_is_cut(2001, 0, 50), shot_is_cut(2000, 90, 50)").first() == (True, True, False)
+
+
+def test_detect_reads_frames_once(spark, tmp_path):
+    y4m(tmp_path / "a.y4m", clip(), "25:1")
+    path = str(tmp_path / "a.y4m")
+    plan = detect(read_frames(spark, path), read_videos(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("BatchScan frames") == 1
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 1000])
+def test_fold_over_blocks_of_steps(spark, n):
+    rng = np.random.default_rng(n)
+    scores = [("v", k, int(rng.integers(0, 4000)), int(rng.integers(0, 260)), k / 25) for k in range(1, n + 1)]
+    df = spark.createDataFrame(scores, "video_id string, frame_number long, intra_key int, ssad_score int, pts double")
+    got = fold_cuts(df, carry=("pts",)).collect()
+    assert sorted(r["frame_number"] for r in got) == model.cuts([s[1:4] for s in scores]) and all(r["pts"] == r["frame_number"] / 25 for r in got)
+
+
+def test_stream_holds_late_scores(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    scores = [("v", n, int(rng.integers(0, 4000)), int(rng.integers(0, 260))) for n in range(2, 122, 2)]
+    df = spark.createDataFrame(scores, "video_id string, frame_number long, intra_key int, ssad_score int")
+    for part in (2, 0, 1, 0):  # the first third last but two, and once more
+        df.filter(f"frame_number > {part * 40} AND frame_number <= {part * 40 + 40}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_cuts(stream, skip=1).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["frame_number"] for r in spark.table("late").collect()) == model.cuts([s[1:] for s in scores])
+
+
+def test_folders_patterns_and_commas(spark, tmp_path):
+    for name in ("a,b.y4m", "c.y4m", "d.Y4M"):
+        y4m(tmp_path / name, clip(2), "25:1")
+    ids = lambda p: sorted(Path(r["video_id"]).name for r in read_videos(spark, p).collect())
+    assert ids(str(tmp_path)) == ["a,b.y4m", "c.y4m", "d.Y4M"] and ids(f"{tmp_path}/*.y4m") == ["a,b.y4m", "c.y4m"]
+    assert ids(f"{tmp_path}/a,b.y4m") == ["a,b.y4m"] and ids(f"{tmp_path}/c.y4m,{tmp_path}/d.Y4M") == ["c.y4m", "d.Y4M"] and ids(f"{tmp_path}/*.mov") == []
+    whole = (tmp_path / "c.y4m").read_bytes()
+    (tmp_path / "p.y4m").write_bytes(whole.replace(b"FRAME\n", b"FRAME Ip\n"))
+    assert [bytes(r["data"]) for r in read_frames(spark, f"{tmp_path}/p.y4m").orderBy("frame_number").collect()] == [p.tobytes() for p in clip(2)]
+
+
+def test_decoder_program(spark, tmp_path):
+    """A program that writes Y4M stands for a decoder."""
+    y4m(tmp_path / "a.bin", clip(), "25:1")
+    (tmp_path / "decode.py").write_text("import sys; d = open(sys.argv[1], 'rb').read(); sys.stdout.buffer.write(d); sys.exit('no video' if d[:1] != b'Y' else 0)")
+    program = f"{sys.executable} {tmp_path}/decode.py {{path}}"
+    path = f"{tmp_path}/a.bin"
+    want = [tuple(r)[1:] for r in read_frames(spark, path).orderBy("frame_number").collect()]
+    assert [tuple(r)[1:] for r in read_decoded(spark, path, program).orderBy("frame_number").collect()] == want
+    assert [r["frame_number"] for r in read_decoded(spark, path, program, skip=4).orderBy("frame_number").collect()] == [0, 5, 10]
+    assert [r["frame_number"] for r in detect(read_decoded(spark, path, program), decoded_files(spark, path)).orderBy("frame_number").collect()] == [0, *model.cuts(expected(clip()))]
+    (tmp_path / "x.bin").write_bytes(b"nothing")
+    with pytest.raises(Exception, match="no video"):
+        read_decoded(spark, f"{tmp_path}/x.bin", program).collect()
+
+
+def test_command_line_output(spark, tmp_path, monkeypatch, capsys):
+    y4m(tmp_path / "a.y4m", clip(), "25:1")
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["a.y4m", "-v", "-s", "anything"]) == 0
+    out = capsys.readouterr().out
+    assert (tmp_path / "a_keyframes.txt").read_text().startswith("# keyframe format v1") and "MB" in out and "Scene 1: Frame" in out and "Scenes detected:" in out
