@@ -192,9 +192,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     no_id = -(-without // shard_bytes)
     bounds, parts = _bounds(keys.filter("id IS NOT NULL"), shard_bytes)
     cut = _with_shard(bounds, parts, no_id)
-    tasks = max(1, min(no_id + sum(parts), MOST_TASKS))
+    tasks = max(1, min(4 * (no_id + sum(parts)), MOST_TASKS))  # shards meet by hash, so more tasks than shards
     repeated = keys.filter(F.col("size") > LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
-    # a shard is a task's work, up to MOST_TASKS tasks
     where = keys.select("id", "digest").mapInArrow(cut, "shard long, id long, digest string").select("shard", "digest").distinct()
     repeated = where.join(repeated, "digest").select("shard", "digest", "first")
     placed = rows.mapInArrow(cut, "shard long, id long, url string, digest string, html string")
