@@ -84,6 +84,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*own)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, of which one in ten has a period of its own put into its later words."""
+    from .common import let, words
+    from .periodic_runs import longest_run, with_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+    docs = docs.select("doc_id", words(F.col("text")).alias("w"))
+    a = g % n
+    docs = docs.withColumn("a", F.when((h % 10 == 0) & (n > 0), a)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))))
+    found = with_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("w")).alias("w")), F.col("w")).drop("w")
+    line = lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])
+    text = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("best", longest_run())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -95,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +126,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_preference_pairs": sql.PREFERENCE_PAIRS,
     "op9_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
+    "op13_periodic_runs": sql.PERIODIC_RUNS,
 }

@@ -76,3 +76,22 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
+
+#: Runs as maximal stretches of equal words ``q`` apart, for every ``q``; the checksum of an id bit by bit.
+PERIODIC_RUNS = r"""
+WITH c AS (SELECT doc_id, text, row_number() OVER () AS r, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS digits FROM documents),
+h AS (SELECT r, doc_id, text, xor(4294967295::BIGINT, list_reduce(flatten(list_prepend([4294967295::BIGINT], list_transform(digits, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END)) AS h FROM c),
+t AS (SELECT r, doc_id, coalesce(h, 1) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
+u AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) END AS a FROM t),
+v AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM u),
+x AS MATERIALIZED (SELECT r, n, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT r, n, w, a, p, unnest(range(n)) AS i FROM v)),
+e AS (SELECT x.r, x.i, x.i - y.i AS q FROM x JOIN x y ON x.r = y.r AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+l AS (SELECT r, q, min(i) - q AS s, max(i) + 1 AS e FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island),
+m AS MATERIALIZED (SELECT r, s, e - s AS len, min(q) AS q FROM l WHERE e - s >= greatest(6, 4 * q) GROUP BY r, s, e),
+o AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines, list({'s': s, 'len': len, 'q': q} ORDER BY len::DOUBLE / q DESC, s, q)[1] AS best FROM m GROUP BY r),
+d AS (SELECT DISTINCT r, i FROM (SELECT r, unnest(range(s + q, s + len)) AS i FROM m)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN d USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.len // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM v LEFT JOIN o USING (r) LEFT JOIN k USING (r)
+"""
