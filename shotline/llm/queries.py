@@ -84,6 +84,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*own)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, of which one in ten has a period of its own put into its later words."""
     from .common import let, words
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -126,5 +133,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_preference_pairs": sql.PREFERENCE_PAIRS,
     "op9_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
+    "op12_lexical_search": sql.LEXICAL_SEARCH,
     "op13_periodic_runs": sql.PERIODIC_RUNS,
 }

@@ -95,3 +95,18 @@ k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN d USIN
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.len // best.q)::BIGINT AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM v LEFT JOIN o USING (r) LEFT JOIN k USING (r)
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM d),
+p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+g AS (SELECT i, term, count(*) AS c FROM (SELECT i, unnest(t) AS term FROM q) GROUP BY i, term),
+m AS (SELECT r, doc_id, 25 + (75 * len(t) * n) // l AS m FROM d, s WHERE len(t) > 0),
+x AS (SELECT i, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM g JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM x JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k JOIN q USING (i) WHERE rank <= 10
+"""
