@@ -84,6 +84,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*own)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    n_removed, n_spans = F.col("n_bytes") - F.length("kept_bytes"), F.size("spans").cast("long")
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import search
 
@@ -124,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
