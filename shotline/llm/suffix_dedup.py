@@ -38,7 +38,7 @@ CONTEXT = 16  # bytes of an anchor
 CROWD = 20_000  # different segments of one anchor that a shard takes
 SHARD_BYTES = 6 << 20  # of segments in a shard, about
 NO_ID = 2**63 - 1
-SEGMENTS = "key long, part long, doc long, row long, begin int, n int, others array<struct<doc: long, row: long, begin: int>>"
+SEGMENTS = "key long, part long, doc long, row long, begin int, n int, at int, others array<struct<doc: long, row: long, begin: int>>"
 STARTS = "doc long, row long, begin int, n int"
 
 _back = np.ones(1, np.uint64)
@@ -65,13 +65,13 @@ def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments_of(texts: list[bytes], least: int, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
-    """(text, begin, number of strings, key of the anchor, hash of the segment) of the segments of several texts."""
+    """(text, begin, number of strings, place of the anchor, key of the anchor, hash of the segment) of the segments of several texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     n = len(buf) - least + 1
     if n <= 0:
-        return (*[np.empty(0, np.int64)] * 3, *[np.empty(0, np.uint64)] * 2)
+        return (*[np.empty(0, np.int64)] * 4, *[np.empty(0, np.uint64)] * 2)
     sums = np.append(np.uint64(0), np.cumsum(_BYTE[buf] * powers(len(buf))[: len(buf)], dtype=np.uint64))
     inverse = _inverses(len(buf) + 1)
     places = len(buf) - context + 1
@@ -88,24 +88,24 @@ def segments_of(texts: list[bytes], least: int, context: int = CONTEXT) -> tuple
     at = anchor[edge]
     own = (sums[stop + least - 1] - sums[edge]) * inverse[edge]
     part = mix(own + mix((at - edge).astype(np.uint64) * np.uint64(1 << 20) + (stop - edge).astype(np.uint64)))
-    return owner[edge], edge - (ends - sizes)[owner[edge]], stop - edge, hashes[at], part
+    return owner[edge], edge - (ends - sizes)[owner[edge]], stop - edge, at - edge, hashes[at], part
 
 
 def _batch_segments(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, ...]:
-    """The segments of a batch (doc, row, text) in order of key, part, document and place: doc, row, begin, n, key, part."""
+    """The segments of a batch (doc, row, text) in order of key, part, document and place: doc, row, begin, n, at, key, part."""
     doc, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
     found = []
-    for begin, end in in_chunks(texts, len, 1 << 18):
+    for begin, end in in_chunks(texts, len, 1 << 16):
         owner, *rest = segments_of(texts[begin:end], least)
         found.append((doc[begin + owner], row[begin + owner], *rest))
-    doc, row, begin, n, key, part = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 6
+    doc, row, begin, n, at, key, part = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 7
     by = np.lexsort((begin, row, doc, part, key))
     # rows that repeat are one document
-    doc, row, begin, n, key, part = (x[by] for x in (doc, row, begin, n, key.astype(np.uint64), part.astype(np.uint64)))
+    doc, row, begin, n, at, key, part = (x[by] for x in (doc, row, begin, n, at, key.astype(np.uint64), part.astype(np.uint64)))
     fresh = np.ones(len(by), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (begin[1:] != begin[:-1])
-    return tuple(x[fresh] for x in (doc, row, begin, n, key, part))
+    return tuple(x[fresh] for x in (doc, row, begin, n, at, key, part))
 
 
 def _counted(least: int):
@@ -113,7 +113,7 @@ def _counted(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = _batch_segments(batch, least)[4]
+            key = _batch_segments(batch, least)[5]
             edge = np.flatnonzero(np.diff(key, prepend=~key[:1]))
             yield pa.RecordBatch.from_arrays([pa.array(key[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(key))), pa.int32())], ["key", "n"])
 
@@ -125,21 +125,21 @@ def _combined(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, row, begin, n, key, part = _batch_segments(batch, least)
+            doc, row, begin, n, at, key, part = _batch_segments(batch, least)
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
             head = np.flatnonzero(fresh)
             more = np.diff(np.append(head, len(key))) - 1
             others = pa.StructArray.from_arrays([pa.array(doc[~fresh]), pa.array(row[~fresh]), pa.array(begin[~fresh], pa.int32())], ["doc", "row", "begin"])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(more)), pa.int32()), others)
-            own = [pa.array(key[head].view(np.int64)), pa.array(part[head].view(np.int64)), pa.array(doc[head]), pa.array(row[head]), pa.array(begin[head], pa.int32()), pa.array(n[head], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*own, lists], ["key", "part", "doc", "row", "begin", "n", "others"])
+            own = [pa.array(key[head].view(np.int64)), pa.array(part[head].view(np.int64)), pa.array(doc[head]), pa.array(row[head]), pa.array(begin[head], pa.int32()), pa.array(n[head], pa.int32()), pa.array(at[head], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, lists], ["key", "part", "doc", "row", "begin", "n", "at", "others"])
 
     return run
 
 
 def _cut_out(least: int):
-    """(key, doc, row, begin, n, c, held) of the segments asked for of (text, wanted)."""
+    """(key, doc, row, begin, n, at, c, held) of the segments asked for of (text, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +148,39 @@ def _cut_out(least: int):
                 held = (batch.column(0)[k].as_py() or "").encode("utf-8", "surrogatepass")
                 for x in batch.column(1)[k].as_py():
                     rows.append((*x.values(), held[x["begin"] : x["begin"] + x["n"] + least - 1]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "row", "begin", "n", "c", "held"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "row", "begin", "n", "at", "c", "held"])
 
     return run
 
 
+def _pieces(key: np.ndarray, n: np.ndarray, at: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first string, number of strings) of the parts of segments that may repeat within the shard.
+
+    Strings whose anchors lie equally far from their starts, by blocks of a tenth of ``least``, all hold the bytes in the
+    middle of that block; where these come once in the shard, no string of the block comes twice.
+    """
+    block = max(1, least // 10)
+    width = n.astype(np.int64) + least - 1
+    first = np.cumsum(width) - width
+    low, high = (at - n + 1) // block, at // block  # blocks of distances from the start to the anchor
+    blocks = high - low + 1
+    owner = np.repeat(np.arange(len(n)), blocks)
+    m = high[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    middle = first[owner] + at[owner] - block * m
+    sums = np.append(np.uint64(0), np.cumsum(_BYTE[text] * powers(len(text))[: len(text)], dtype=np.uint64))
+    core = (sums[middle + least - block + 1] - sums[middle]) * _inverses(len(text) + 1)[middle]
+    core = mix(core + mix(key[owner].astype(np.uint64) + m.astype(np.uint64)))
+    _, where, count = np.unique(core, return_inverse=True, return_counts=True)
+    keep = count[where] > 1
+    begin, end = np.maximum(at[owner] - block * m - block + 1, 0), np.minimum(at[owner] - block * m, n[owner] - 1) + 1
+    owner, begin, end = owner[keep], begin[keep], end[keep]
+    fresh = np.append(True, (owner[1:] != owner[:-1]) | (begin[1:] != end[:-1])) if len(owner) else np.zeros(0, bool)
+    head = np.flatnonzero(fresh)
+    return owner[head], begin[head], end[np.append(head[1:], len(owner)) - 1] - begin[head] if len(head) else end
+
+
 def _repeats(least: int, folder: str, resident: int):
     """Of a shard's segments the starts whose string has an earlier start, as runs of consecutive starts."""
 
@@ -162,9 +188,12 @@ def _repeats(least: int, folder: str, resident: int):
         shard = shard.sort_by([("doc", "ascending"), ("row", "ascending"), ("begin", "ascending")]).combine_chunks()
         doc, row, begin = (shard.column(c).to_numpy() for c in ("doc", "row", "begin"))
         shard = shard.filter(pa.array(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (begin[1:] != begin[:-1])))).combine_chunks()
-        doc, row, begin, n = (shard.column(c).to_numpy() for c in ("doc", "row", "begin", "n"))
-        text = np.frombuffer(b"".join(shard.column("held").to_pylist()), np.uint8)
-        width = n.astype(np.int64) + least - 1
+        key, doc, row, begin, n, at = (shard.column(c).to_numpy() for c in ("key", "doc", "row", "begin", "n", "at"))
+        held = shard.column("held").to_pylist()
+        owner, offset, n = _pieces(key, n.astype(np.int64), at.astype(np.int64), np.frombuffer(b"".join(held), np.uint8), least)
+        text = np.frombuffer(b"".join([held[k][b : b + m + least - 1] for k, b, m in zip(owner.tolist(), offset.tolist(), n.tolist(), strict=True)]), np.uint8)
+        doc, row, begin = doc[owner], row[owner], begin[owner] + offset
+        width = n + least - 1
         first = np.cumsum(width) - width
         within = np.arange(len(text)) - np.repeat(first, width)
         start = within < np.repeat(n, width)  # the others are the tails of the last strings
@@ -198,12 +227,12 @@ def repeated_starts(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, sha
     again = found.filter("NOT first OR size(others) > 0").select("n", F.explode(F.when(F.col("first"), later).otherwise(F.concat(F.array(own), later))).alias("x"))
     again = again.select("x.doc", "x.row", "x.begin", "n")
 
-    firsts = found.filter("first").select("key", "doc", "row", "begin", "n")
+    firsts = found.filter("first").select("key", "doc", "row", "begin", "n", "at")
     counts = firsts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    wanted = firsts.join(counts, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "doc", "row", "begin", "n", "c")).alias("wanted"))
+    wanted = firsts.join(counts, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "doc", "row", "begin", "n", "at", "c")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc": "__doc", "row": "__row"})
     texts = docs.join(wanted, (F.col("doc") == F.col("__doc")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
-    held = stored(texts.mapInArrow(_cut_out(least), "key long, doc long, row long, begin int, n int, c long, held binary"), "held")
+    held = stored(texts.mapInArrow(_cut_out(least), "key long, doc long, row long, begin int, n int, at int, c long, held binary"), "held")
     release(spark)
     few = held.filter(F.col("c") <= crowd)
     n_shards = max(1, ceil((few.agg(F.sum(F.length("held"))).first()[0] or 0) / shard_bytes))
