@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyarrow import fs
 
-RANGE = 1 << 14  # tuples in a range of symbols, about
+RANGE = 1 << 12  # tuples in a range of symbols, about
 BATCH = 1 << 16  # tuples that leave a queue at once, at most
 LEVELS = 1  # texts of names, each sorted by induction as well; valleys of the last are compared up to the depth
 RESIDENT = 1 << 22  # tuples that wait in memory; the others wait in run files

@@ -36,7 +36,7 @@ from .induced_sort import suffix_order
 LEAST = 100  # bytes of a string that counts
 CONTEXT = 16  # bytes of an anchor
 CROWD = 20_000  # different segments of one anchor that a shard takes
-SHARD_BYTES = 6 << 20  # of segments in a shard, about
+SHARD_BYTES = 16 << 20  # of segments in a shard, about
 NO_ID = 2**63 - 1
 SEGMENTS = "key long, part long, doc long, row long, begin int, n int, at int, others array<struct<doc: long, row: long, begin: int>>"
 STARTS = "doc long, row long, begin int, n int"
