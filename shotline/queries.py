@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import pixels
 from .operators.buffers import held_at, pool_stats, ring
-from .operators.fold import fold_cuts
+from .operators.fold import fold_chunks, fold_cuts, with_streaks
 from .operators.pairs import code_for, frame_problem, numbers_of_blocks, previous, sample, score_frames, score_pairs
 from .plans.detect import progress, scenes_of
 from .schema import FRAMES
@@ -245,6 +245,24 @@ def scene_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_cuts(scores)
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _luma(spark, sf_dir).filter("frame_number > 0").select("video_id", "frame_number", (F.col("luma") * 29).alias("intra_key"), F.col("luma").alias("ssad_score"))
+
+
+@query(f"{_folded(_SCORES)} SELECT video_id, frame_number FROM f WHERE cut")
+def scene_fold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold by tables of chunks, 32 steps each, which are composed and replayed."""
+    return fold_chunks(_scores(spark, sf_dir), chunk=32)
+
+
+@query(f"""WITH p AS (SELECT video_id, frame_number, (luma * 29 > 2000 OR luma > 90) AS pass FROM {_LUMA} WHERE frame_number > 0),
+r AS (SELECT *, CASE WHEN pass THEN frame_number - coalesce(max(CASE WHEN NOT pass THEN frame_number END) OVER (PARTITION BY video_id ORDER BY frame_number), 0) ELSE 0 END AS run FROM p)
+SELECT a.video_id, a.frame_number, max(least(b.run, b.frame_number - a.frame_number + 5))::BIGINT AS streak FROM r a JOIN r b ON a.video_id = b.video_id AND b.frame_number BETWEEN a.frame_number - 4 AND a.frame_number GROUP BY a.video_id, a.frame_number""")
+def smoothing_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of passing frames among the five that end with each."""
+    return with_streaks(_scores(spark, sf_dir), 5).select("video_id", "frame_number", F.col("streak").cast("long").alias("streak"))
+
+
 _SCENES = f"(SELECT video_id, frame_number, frame_number / CAST(25 AS DOUBLE) AS timestamp FROM f WHERE cut UNION ALL SELECT video_id, 0, CAST(0 AS DOUBLE) FROM {_VIDEOS})"
 
 
