@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array for null."""
@@ -48,11 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that survives lost executors."""
+def stored(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that survives lost executors.
+
+    With ``clean`` the shuffle files of the write go as soon as it is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shotline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    if clean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

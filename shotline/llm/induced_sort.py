@@ -97,7 +97,11 @@ class _Queue:
             keys = self._key[now["at"]]
             by = np.argsort(keys, kind="stable")
             rest = self._at[self._head :]
-            self._at, self._head = np.insert(rest, np.searchsorted(self._key[rest["at"]], keys[by], side="right"), now[by]), 0
+            place = np.searchsorted(self._key[rest["at"]], keys[by], side="right") + np.arange(len(by))
+            old = np.ones(len(rest) + len(by), bool)
+            old[place] = False
+            self._at, self._head = np.empty(len(old), _TUPLE), 0
+            self._at[old], self._at[place] = rest, now[by]
         if len(later):
             self._fresh.append(later)
             self._n_fresh += len(later)
@@ -159,6 +163,13 @@ class _Queue:
             self._fs.delete_file(name)
 
 
+def _led(first: object, rest: np.ndarray) -> np.ndarray:
+    """``rest`` behind ``first``; quicker than np.append for short arrays."""
+    out = np.empty(len(rest) + 1, rest.dtype)
+    out[0], out[1:] = first, rest
+    return out
+
+
 def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The least of ``values[begin:end]`` for each pair; no range is empty."""
     if not len(begin):
@@ -191,40 +202,40 @@ def _induced(text: Bytes, byte_at: np.ndarray, symbol: np.ndarray, key: np.ndarr
             keys = key[at]
             before = np.maximum(at - 1, 0)
             hit = wanted[before] & (at > 0)
-            reach = np.minimum.accumulate(np.where(hit, key[before], np.iinfo(np.int64).max))
-            fits = np.append(True, reach[:-1] >= keys[1:])
+            reach = np.minimum.accumulate(np.where(hit, key[before], np.iinfo(key.dtype).max))
+            fits = _led(True, reach[:-1] >= keys[1:])
             n = len(rows) if fits.all() else int(np.argmin(fits))
             most = min(BATCH, max(256, 2 * n))
             at, keys, hit, before = at[:n], keys[:n], hit[:n], before[:n]
             lcp = rows["lcp"][:n].copy()
             queue.take(n)
-            other = np.flatnonzero(np.append(last is None or key[last] != keys[0], keys[1:] != keys[:-1]))
-            forerunner = np.append(at[0] if last is None else last, at[:-1])
+            other = _led(last is None or key[last] != keys[0], keys[1:] != keys[:-1]).nonzero()[0]
+            forerunner = _led(at[0] if last is None else last, at[:-1])
             lcp[other] = text.common(byte_at[at[other]], byte_at[forerunner[other]])
             if last is None:
                 lcp[0] = 0
             last = int(at[-1])
-            source = np.flatnonzero(hit)
+            source = hit.nonzero()[0]
             if len(source):
                 target = before[source]
                 name = symbol[target]
                 by = np.argsort(name.astype(np.uint16) if n_symbols < 1 << 16 else name, kind="stable")
                 source_by, name_by = source[by], name[by]
-                fresh = np.append(True, name_by[1:] != name_by[:-1])
+                fresh = _led(True, name_by[1:] != name_by[:-1])
                 shared = np.zeros(len(by), np.uint8)
-                again = np.flatnonzero(~fresh)
+                again = (~fresh).nonzero()[0]
                 shared[again] = _least(lcp, source_by[again - 1] + 1, source_by[again] + 1)
-                first = np.flatnonzero(fresh)
+                first = fresh.nonzero()[0]
                 so_far = np.minimum.accumulate(lcp)
                 known = first[seen[name_by[first]] >= 0]
                 names = name_by[known]
                 shared[known] = np.minimum(np.minimum(tail[names], between[seen[names]]), so_far[source_by[known]])
-                wide = byte_at[target[by] + 1] - byte_at[target[by]]
+                wide = np.minimum(byte_at[target[by] + 1] - byte_at[target[by]], text.depth)
                 put = np.empty(len(source), _TUPLE)
                 put["at"] = target
                 put["lcp"][by] = np.minimum(shared + wide, text.depth)
-                ends = np.append(first[1:] - 1, len(by) - 1)
-                to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
+                ends = _led(len(by), first[:0:-1])[::-1] - 1
+                to_end = _led(255, np.minimum.accumulate(lcp[::-1]))[::-1]
             between[:step] = np.minimum(between[:step], lcp.min())
             if len(source):
                 tail[name_by[ends]], seen[name_by[ends]] = to_end[source_by[ends] + 1], step
@@ -271,15 +282,17 @@ def _names(symbol: np.ndarray, is_s: np.ndarray, valleys: np.ndarray) -> np.ndar
 def _sorted(text: Bytes, byte_at: np.ndarray, symbol: np.ndarray, folder: str | None, resident: int, level: int = 0) -> np.ndarray:
     """Tuples of all suffixes of ``symbol`` in order; its last symbol is the smallest and comes once."""
     n = len(symbol)
-    step = np.diff(symbol.astype(np.int64))
-    moves = np.where(step != 0, np.arange(n - 1), n)
+    step = np.diff(symbol)
+    moves = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     moves = np.minimum.accumulate(moves[::-1])[::-1]  # the next place where the symbol changes
     is_s = np.append(step[np.minimum(moves, n - 2)] > 0, True) if n > 1 else np.ones(1, bool)
+    del step, moves
     valleys = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if not len(valleys):
         valleys = np.array([n - 1])
     seeds = np.empty(len(valleys), _TUPLE)
     names, short = np.unique(_names(symbol, is_s, valleys), return_inverse=True) if level < LEVELS else (None, None)
+    short = None if short is None else short.astype(np.int32)
     if names is None:
         starts = byte_at[valleys[:-1]]
         seeds["at"] = np.append(valleys[-1], valleys[np.searchsorted(starts, text.ordered(starts))])
@@ -292,12 +305,13 @@ def _sorted(text: Bytes, byte_at: np.ndarray, symbol: np.ndarray, folder: str |
     else:
         found = _sorted(text, np.append(byte_at[valleys], byte_at[-1]), short, folder, resident, level + 1)
         seeds["at"], seeds["lcp"] = valleys[found["at"]], found["lcp"]
-    up = 2 * symbol.astype(np.int64) + is_s
+    up = 2 * symbol + is_s
     found = np.concatenate(list(_induced(text, byte_at, symbol, up, ~is_s, seeds, folder, resident)))
     # the suffixes of type L are the seeds of the way down, with the common prefix with what comes before them there
     large = found[~is_s[found["at"]]][::-1].copy()
     large["lcp"] = np.append(np.uint8(0), large["lcp"][:-1])
-    down = 2 * (int(symbol.max()) - symbol.astype(np.int64)) + ~is_s
+    del found
+    down = 2 * (symbol.max() - symbol) + ~is_s
     end = np.zeros(1, _TUPLE)
     end["at"] = n - 1  # nothing induces the last suffix, which is the smallest
     if not len(large):
@@ -319,5 +333,5 @@ def suffix_order(text: np.ndarray, depth: int, folder: str | None = None, reside
         return np.empty(0, np.int64), np.empty(0, np.uint8)
     held = Bytes(text, depth)
     symbol = np.append(text.astype(np.int32) + 1, np.int32(0))
-    found = _sorted(held, np.arange(len(text) + 2), symbol, folder, resident)[1:]
+    found = _sorted(held, np.arange(len(text) + 2, dtype=np.int32), symbol, folder, resident)[1:]
     return found["at"].astype(np.int64), found["lcp"].copy()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, cut, in_chunks, mix, powers, release, shared_dir, stored
+from .common import _BYTE, cut, in_chunks, mix, powers, shared_dir, stored
 from .induced_sort import suffix_order
 
 LEAST = 100  # bytes of a string that counts
@@ -162,16 +162,20 @@ def _pieces(key: np.ndarray, n: np.ndarray, at: np.ndarray, text: np.ndarray, le
     middle of that block; where these come once in the shard, no string of the block comes twice.
     """
     block = max(1, least // 10)
-    width = n.astype(np.int64) + least - 1
+    width = n + least - 1
     first = np.cumsum(width) - width
     low, high = (at - n + 1) // block, at // block  # blocks of distances from the start to the anchor
     blocks = high - low + 1
     owner = np.repeat(np.arange(len(n)), blocks)
     m = high[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    middle = first[owner] + at[owner] - block * m
-    sums = np.append(np.uint64(0), np.cumsum(_BYTE[text] * powers(len(text))[: len(text)], dtype=np.uint64))
-    core = (sums[middle + least - block + 1] - sums[middle]) * _inverses(len(text) + 1)[middle]
-    core = mix(core + mix(key[owner].astype(np.uint64) + m.astype(np.uint64)))
+    core = np.empty(len(owner), np.uint64)
+    for begin, end in in_chunks(width.tolist(), int, 1 << 16):
+        own = slice(*np.searchsorted(owner, (begin, end)))
+        part = text[first[begin] : first[end - 1] + width[end - 1]]
+        middle = first[owner[own]] - first[begin] + at[owner[own]] - block * m[own]
+        sums = np.append(np.uint64(0), np.cumsum(_BYTE[part] * powers(len(part))[: len(part)], dtype=np.uint64))
+        hashed = (sums[middle + least - block + 1] - sums[middle]) * _inverses(len(part) + 1)[middle]
+        core[own] = mix(hashed + mix(key[owner[own]].astype(np.uint64) + m[own].astype(np.uint64)))
     _, where, count = np.unique(core, return_inverse=True, return_counts=True)
     keep = count[where] > 1
     begin, end = np.maximum(at[owner] - block * m - block + 1, 0), np.minimum(at[owner] - block * m, n[owner] - 1) + 1
@@ -221,8 +225,7 @@ def repeated_starts(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, sha
     found = docs.mapInArrow(_combined(least), SEGMENTS).join(several, "key", "left_semi")
     # batches combine equal segments, so a passage comes once a batch, however many documents hold it
     found = found.withColumn("lo", F.expr("min(struct(doc, row, begin)) OVER (PARTITION BY key, part)"))
-    found = stored(found.withColumn("first", F.expr("lo = struct(doc, row, begin)")), "segments")
-    release(spark)
+    found = stored(found.withColumn("first", F.expr("lo = struct(doc, row, begin)")), "segments", clean=True)
     own, later = F.struct("doc", "row", "begin"), F.filter("others", lambda x: x != F.col("lo"))
     again = found.filter("NOT first OR size(others) > 0").select("n", F.explode(F.when(F.col("first"), later).otherwise(F.concat(F.array(own), later))).alias("x"))
     again = again.select("x.doc", "x.row", "x.begin", "n")
@@ -232,8 +235,7 @@ def repeated_starts(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, sha
     wanted = firsts.join(counts, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "doc", "row", "begin", "n", "at", "c")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc": "__doc", "row": "__row"})
     texts = docs.join(wanted, (F.col("doc") == F.col("__doc")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
-    held = stored(texts.mapInArrow(_cut_out(least), "key long, doc long, row long, begin int, n int, at int, c long, held binary"), "held")
-    release(spark)
+    held = stored(texts.mapInArrow(_cut_out(least), "key long, doc long, row long, begin int, n int, at int, c long, held binary"), "held", clean=True)
     few = held.filter(F.col("c") <= crowd)
     n_shards = max(1, ceil((few.agg(F.sum(F.length("held"))).first()[0] or 0) / shard_bytes))
     sorted_ = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(_repeats(least, shared_dir(spark), resident), STARTS)
@@ -285,8 +287,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     row = F.xxhash64("text") if repeats else F.lit(0).cast("long")
     narrow = narrow.select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), row.alias("row"), "text")
     starts = repeated_starts(narrow.select("doc", "row", "text"), least, crowd, shard_bytes, resident)
-    starts = stored(starts.groupBy("doc", "row").agg(F.collect_list(F.struct("begin", "n")).alias("__starts")), "starts")
-    release(docs.sparkSession)
+    starts = stored(starts.groupBy("doc", "row").agg(F.collect_list(F.struct("begin", "n")).alias("__starts")), "starts", clean=True)
     copy = F.expr("row_number() OVER (PARTITION BY doc, row ORDER BY doc)") if repeats else F.lit(1)
     both = narrow.join(starts, ["doc", "row"], "left").select("id", F.col("text").alias("__text"), "__starts", copy.alias("__copy"))
     out = both.mapInArrow(_left(least), "id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept_bytes binary")
