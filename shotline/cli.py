@@ -46,8 +46,22 @@ def main(args: list[str] | None = None) -> int:
     if not given.quiet:
         print("\n".join(("Scene detection", rule, f"Input:  {Path(video).resolve()}", f"Size:   {Path(video).stat().st_size / 1048576:.2f} MB", f"Output: {Path(output).resolve()}", rule, "")))
     spark = SparkSession.builder.appName("shotline").getOrCreate()
+    count = 0
+
+    def scene(s: dict) -> None:
+        nonlocal count
+        count += 1
+        if given.verbose:
+            print(f"  Scene {count}: Frame {s['frameNumber']} at {s['timecode']}", flush=True)
+
+    def progress(p: dict) -> None:
+        if not given.verbose:
+            eta = f" ETA: {p['eta']:.0f}s" if p["eta"] is not None else ""
+            print(f"\rProgress: {p['percent']}% ({p['current_frame']}/{p['total_frames']}){eta}   ", end="", flush=True)
+
+    calls = {} if given.quiet else {"on_scene": scene, "on_progress": progress}
     try:
-        found = detect_scene_changes(spark, str(Path(video).resolve()), Options(sensitivity=given.sensitivity if given.sensitivity in SENSITIVITIES else "medium"))
+        found = detect_scene_changes(spark, str(Path(video).resolve()), Options(sensitivity=given.sensitivity if given.sensitivity in SENSITIVITIES else "medium"), **calls)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
@@ -56,8 +70,7 @@ def main(args: list[str] | None = None) -> int:
     if given.quiet:
         print(text)
     else:
-        for k, s in enumerate(found["scenes"][1:] if given.verbose else (), 1):
-            print(f"  Scene {k}: Frame {s['frameNumber']} at {s['timecode']}")
+        print()
         took = found["stats"]["processingTime"]
         print("\n".join((rule, "Complete!", rule, f"Scenes detected:  {len(found['scenes'])}", f"Processing time:  {took:.0f}s", f"Processing speed: {found['metadata']['totalFrames'] / took:.1f} fps", rule)))
         print(text)

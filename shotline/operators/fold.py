@@ -56,7 +56,7 @@ def cuts_from(intra_key: Column, score: Column, base: tuple[int, int] = (2000, 9
     return F.least(by_intra, by_score.cast("int"))
 
 
-def fold_chunks(scores: DataFrame, base: tuple[int, int] = (2000, 90), keys: tuple[str, ...] = ("video_id",), order: str = "frame_number", carry: tuple[str, ...] = (), skip: int = 0, chunk: int = 1 << 14) -> DataFrame:
+def fold_chunks(scores: DataFrame, base: tuple[int, int] = (2000, 90), keys: tuple[str, ...] = ("video_id",), order: str = "frame_number", carry: tuple[str, ...] = (), skip: int = 0, chunk: int = 1 << 12) -> DataFrame:
     """``fold_cuts`` of scores numbered ``skip + 1``, twice that, and so on, with each ``chunk`` of a video in a task of its own.
 
     A video is one row only for its chunks' tables, 31 small numbers for each chunk that has pairs which may be cuts.
@@ -64,13 +64,15 @@ def fold_chunks(scores: DataFrame, base: tuple[int, int] = (2000, 90), keys: tup
     if chunk < FAR:
         raise ValueError(f"a chunk has at least {FAR} steps")
     place = (F.col(order) / (skip + 1)).cast("long")
-    kept = scores.select(*keys, order, *carry, place.alias("at"), cuts_from(F.col("intra_key"), F.col("ssad_score"), base).alias("c")).filter(F.col("c") <= FAR)
-    kept = kept.withColumn("chunk", F.expr(f"at div {chunk}"))
-    steps = kept.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "c", F.col(order).alias("__number"), *[F.col(c).alias(f"__{c}") for c in carry]))).alias("steps"))
+    # a key that is never null: both uses of the steps then have one plan, so scores are computed and shuffled once
+    key = F.struct(*keys).alias("key")
+    kept = scores.select(key, order, *carry, place.alias("at"), cuts_from(F.col("intra_key"), F.col("ssad_score"), base).alias("c")).filter(F.col("c") <= FAR)
+    kept = kept.withColumn("chunk", F.coalesce(F.expr(f"at div {chunk}"), F.lit(-1).cast("long")))
+    steps = kept.groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "c", F.col(order).alias("__number"), *[F.col(c).alias(f"__{c}") for c in carry]))).alias("steps"))
     begin, end = F.col("chunk") * chunk, (F.col("chunk") + 1) * chunk
     follow = lambda last, x: F.when(x["at"] - last >= x["c"], x["at"]).otherwise(last)
     exits = F.transform(F.sequence(F.lit(0), F.lit(FAR)), lambda e: F.least(F.lit(FAR), end - F.aggregate("steps", begin - e, follow)).cast("int"))
-    tables = steps.select(*keys, "chunk", exits.alias("exits"))
+    tables = steps.select("key", "chunk", exits.alias("exits"))
 
     # the distance at the start of each chunk; a chunk without a row leaves more than FAR steps behind
     def entered(state: Column, x: Column) -> Column:
@@ -80,15 +82,15 @@ def fold_chunks(scores: DataFrame, base: tuple[int, int] = (2000, 90), keys: tup
 
     none = F.array().cast("array<struct<chunk: bigint, distance: int>>")
     start = F.struct(F.lit(0).cast("long").alias("next"), F.lit(0).alias("distance"), none.alias("all"))
-    rows = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "exits"))).alias("tables"))
-    starts = rows.select(*keys, F.inline(F.aggregate("tables", start, entered, lambda s: s["all"])))
+    rows = tables.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "exits"))).alias("tables"))
+    starts = rows.select("key", F.inline(F.aggregate("tables", start, entered, lambda s: s["all"])))
 
     def replay(state: Column, x: Column) -> Column:
         hit = x["at"] - state["last"] >= x["c"]
         return F.struct(F.when(hit, x["at"]).otherwise(state["last"]).alias("last"), F.when(hit, F.concat(state["cuts"], F.array(x))).otherwise(state["cuts"]).alias("cuts"))
 
     first = F.struct((begin - F.col("distance")).alias("last"), F.slice("steps", 1, 0).alias("cuts"))
-    found = steps.join(starts, [*keys, "chunk"]).select(*keys, F.inline(F.aggregate("steps", first, replay, lambda s: s["cuts"])))
+    found = steps.join(starts, ["key", "chunk"]).select("key.*", F.inline(F.aggregate("steps", first, replay, lambda s: s["cuts"])))
     return found.select(*keys, F.col("__number").alias(order), *[F.col(f"__{c}").alias(c) for c in carry])
 
 

@@ -84,6 +84,11 @@ def _scored(cur: np.ndarray, prev: np.ndarray, code: int, want_blocks: bool):
     return keys, scores, blocks
 
 
+def scores_of(cur: np.ndarray, prev: np.ndarray, code: int) -> tuple[list[int | None], list[int]]:
+    """intra_key and ssad_score of pairs of (n, h, w) pictures."""
+    return _scored(cur, prev, code, False)[:2]
+
+
 def code_for(search_range: str, width: int, height: int) -> int:
     if search_range == "auto":
         return 3 if width * height <= 345_600 else 4 if width * height <= 2_073_600 else 5

@@ -1,5 +1,5 @@
 """Whole queries: detection from frames to scenes."""
 
-from .detect import detect, detect_scene_changes, progress, result, scenes_of
+from .detect import detect, detect_files, detect_scene_changes, progress, result, scenes_of
 
-__all__ = ["detect", "detect_scene_changes", "progress", "result", "scenes_of"]
+__all__ = ["detect", "detect_files", "detect_scene_changes", "progress", "result", "scenes_of"]

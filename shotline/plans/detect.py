@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import eta, percent, timecode
-from ..operators.fold import fold_cuts, with_hits
+from ..operators.fold import fold_chunks, fold_cuts, with_streaks
 from ..operators.pairs import sample, score_frames, validate
 from ..options import Options
 
@@ -29,15 +30,32 @@ def detect(frames: DataFrame, videos: DataFrame | None = None, options: Options
     """Scenes of all videos in ``frames``; order by video_id and frame_number to read them.
 
     With ``videos`` given, ``frames`` is read once: times go along with the scores. With smoothing, a cut stays if
-    ``smoothing_min`` of the ``smoothing_window`` frames that end with it pass a base threshold.
+    ``smoothing_min`` consecutive frames of the ``smoothing_window`` that end with it pass a base threshold.
     """
     videos = videos if videos is not None else frames.select("video_id").distinct()
     scores = score_frames(validate(frames), options.search_range, options.skip_frames, options.chunk_bytes, times=True)
+    return scenes_of(cuts_of(scores, options, fold_cuts), None, videos)
+
+
+def cuts_of(scores: DataFrame, options: Options, fold: Callable[..., DataFrame]) -> DataFrame:
+    """(video_id, frame_number, pts) of the cuts among timed scores, by a fold of a video or of its chunks."""
     if not (options.extended and options.smoothing_window > 1):
-        return scenes_of(fold_cuts(scores, options.thresholds(), carry=("pts",)), None, videos)
-    scores = with_hits(scores, options.smoothing_window, options.thresholds())
-    cuts = fold_cuts(scores, options.thresholds(), carry=("pts", "hits"))
-    return scenes_of(cuts.filter(F.col("hits") >= options.smoothing_min), None, videos)
+        return fold(scores, options.thresholds(), carry=("pts",))
+    scores = with_streaks(scores, options.smoothing_window, options.thresholds())
+    return fold(scores, options.thresholds(), carry=("pts", "streak")).filter(F.col("streak") >= options.smoothing_min)
+
+
+def detect_files(spark: SparkSession, path: str, options: Options = Options(), measured: Observation | None = None) -> DataFrame:  # noqa: B008
+    """Scenes of the uncompressed videos that ``path`` names: pairs are scored inside the scan, and no frame is shuffled.
+
+    ``measured`` gets ``pairs``, the number of pairs scored.
+    """
+    from ..sources import read_scores, read_videos
+
+    scores = read_scores(spark, path, skipFrames=options.skip_frames, searchRange=options.search_range)
+    if measured is not None:
+        scores = scores.observe(measured, F.count(F.lit(1)).alias("pairs"))
+    return scenes_of(cuts_of(scores, options, partial(fold_chunks, skip=options.skip_frames)), None, read_videos(spark, path))
 
 
 def progress(frames: DataFrame, videos: DataFrame, every: int = 30, skip: int = 0, elapsed: Column | None = None) -> DataFrame:
@@ -55,26 +73,26 @@ def result(scenes: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def detect_scene_changes(spark: SparkSession, path: str, options: Options = Options(), on_scene: Callable[[dict], None] | None = None, on_progress: Callable[[dict], None] | None = None) -> dict:  # noqa: B008
-    """Scenes, metadata and timing of one video file, as plain values. ``on_scene`` gets each cut in order, not the first frame."""
-    from ..sources import read_frames, read_videos
+    """Scenes, metadata and timing of one video file, as plain values.
+
+    ``on_scene`` gets each cut, not the first frame, and ``on_progress`` how far the scoring is, both while the video is
+    still being read (``plans.live``).
+    """
+    from ..sources import read_videos
+    from .live import follow_video
 
     began = time.perf_counter()
-    videos, frames = read_videos(spark, path), read_frames(spark, path, skipFrames=options.skip_frames)
-    rows = [r.asDict() for r in detect(frames, videos, options).orderBy("frame_number").collect()]
-    scenes = [{"frameNumber": r["frame_number"], "timestamp": r["timestamp"], "timecode": r["timecode"]} for r in rows]
-    meta = videos.first()
+    meta = read_videos(spark, path).first()
+    if on_scene or on_progress:
+        scenes, processed = follow_video(spark, path, meta, options, on_scene, on_progress, began)
+    else:
+        measured = Observation("scored")
+        rows = detect_files(spark, path, options, measured).orderBy("frame_number").collect()
+        scenes = [{"frameNumber": r["frame_number"], "timestamp": r["timestamp"], "timecode": r["timecode"]} for r in rows]
+        processed = measured.get["pairs"] + (meta["total_frames"] > 0)  # the first frame has no pair
     took = time.perf_counter() - began
-    kept = -(-meta["total_frames"] // (options.skip_frames + 1))
-    for scene in scenes[1:] if on_scene else ():
-        on_scene(scene)
-    if on_progress and meta["total_frames"]:
-        # numbers and times follow from the metadata, without a frame; the time taken is spread evenly
-        number = F.col("frame_number")
-        numbers = videos.select("video_id", "fps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame_number")).withColumn("pts", number / F.col("fps"))
-        for row in progress(numbers, videos, skip=options.skip_frames, elapsed=number * (took / meta["total_frames"])).orderBy("current_frame").toLocalIterator():
-            on_progress(row.asDict())
     return {
         "scenes": scenes,
         "metadata": {"totalFrames": meta["total_frames"], "duration": meta["duration"], "fps": meta["fps"], "resolution": meta["resolution"].asDict()},
-        "stats": {"processingTime": took, "framesPerSecond": kept / took if took else 0.0},
+        "stats": {"processingTime": took, "framesPerSecond": processed / took if took else 0.0},
     }
