@@ -104,17 +104,18 @@ def _pairs(w: Column) -> Column:
     return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
 
 
-def _blocks(pairs: Column, places: Column, t: Column, body) -> Column:
-    """``body(starts, ends)``: the maximal blocks of neighbouring bigrams of ``t``, each end with its rank among all of them."""
+def _earlier(pairs: Column) -> Column:
+    """For each bigram the place where it stood last before, or -1: by one sort of bigrams with their places, and one back."""
+    placed = F.sort_array(F.transform(pairs, lambda x, i: F.struct(x.alias("x"), i.alias("place"))))
 
-    def of(at: Column) -> Column:
-        place = lambda i, k: F.struct(i.alias("place"), k.alias("rank"))
-        ranked = F.transform(at, place)
-        starts = F.filter(ranked, lambda x, k: ~F.coalesce(F.get(at, k - 1) == x["place"] - 1, F.lit(False)))
-        ends = F.filter(ranked, lambda x, k: ~F.coalesce(F.get(at, k + 1) == x["place"] + 1, F.lit(False)))
-        return let(ends, lambda e: body(starts, e))
+    def before(sorted_: Column) -> Column:
+        def last(x: Column, k: Column) -> Column:
+            other = F.get(sorted_, k - 1)
+            return F.struct(x["place"].alias("place"), F.when((k > 0) & (other["x"] == x["x"]), other["place"]).otherwise(-1).alias("before"))
 
-    return let(F.filter(places, lambda i: F.array_contains(t["bigrams"], F.get(pairs, i))), of)
+        return F.transform(sorted_, last)
+
+    return F.transform(F.sort_array(let(placed, before)), lambda x: x["before"])
 
 
 def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,23 +140,39 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
 
         return let(F.array_distinct(_pairs(unit["w"])), of)
 
-    def runs_of(t: Column, pairs: Column, places: Column) -> Column:
-        """The best run of each start, where that is a hit."""
+    def runs_of(t: Column, pairs: Column, earlier: Column) -> Column:
+        """The best run of each start, where that is a hit; one pass over the places behind a start counts all its runs."""
+
+        def of(own: Column) -> Column:
+            at = lambda i: F.coalesce(F.get(own, i), F.lit(False))
+            places = F.transform(own, lambda x, i: F.struct(i.alias("place"), F.get(earlier, i).alias("before"), x.alias("own"), (x & ~at(i + 1)).alias("last")))
+            ranked = F.filter(F.transform(own, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+
+            def starts_of(own_at: Column) -> Column:
+                ranks = F.transform(own_at, lambda i, k: F.struct(i.alias("place"), k.alias("rank")))
+                starts = F.filter(ranks, lambda s: ~at(s["place"] - 1))
+                # of a start's window only the last own bigram that lies in it: how many own ones the longest run can have
+                held = lambda s: F.size(F.filter(F.slice(own_at, s["rank"] + 1, t["longest"]), lambda i: i - s["place"] < t["longest"]))
+                return F.transform(F.filter(F.transform(starts, lambda s: F.struct(s["place"].alias("place"), held(s).alias("held"))), lambda s: enough(s["held"], t)), lambda s: s["place"])
+
+            def best(all_places: Column):
+                def run(s: Column) -> Column:
+                    def step(state: Column, x: Column) -> Column:
+                        new = x["before"] < s
+                        distinct = state["distinct"] + new.cast("int")
+                        shared = state["shared"] + (new & x["own"]).cast("int")
+                        value = -2.0 * shared / (distinct + t["size"])
+                        better = x["last"] & (value < state["minus"])
+                        return F.struct(distinct.alias("distinct"), shared.alias("shared"), F.when(better, value).otherwise(state["minus"]).alias("minus"), F.when(better, x["place"]).otherwise(state["end"]).alias("end"))
 
-        def run(s: Column, e: Column) -> Column:
-            own = F.array_distinct(F.slice(pairs, s["place"] + 1, e["place"] - s["place"] + 1))
-            value = let(own, lambda o: minus(o, t))
-            return F.struct(value.alias("minus"), (-t["size"]).alias("less"), t["name"].alias("name"), s["place"].alias("first"), e["place"].alias("last"))
+                    begin = F.struct(F.lit(0).alias("distinct"), F.lit(0).alias("shared"), F.lit(0.0).alias("minus"), F.lit(-1).alias("end"))
+                    return F.aggregate(F.slice(all_places, s + 1, t["longest"]), begin, step, lambda r: F.struct(r["minus"].alias("minus"), (-t["size"]).alias("less"), t["name"].alias("name"), s.alias("first"), r["end"].alias("last")))
 
-        def from_starts(starts: Column, ends: Column) -> Column:
-            def best(s: Column, k: Column) -> Column:
-                near = F.slice(ends, k + 1, t["longest"])  # a block takes a place at least
-                fit = F.filter(near, lambda e: (e["place"] - s["place"] < t["longest"]) & enough(e["rank"] - s["rank"] + 1, t))
-                return F.array_min(F.transform(fit, lambda e: run(s, e)))
+                return lambda starts: F.filter(F.transform(starts, run), lambda r: r["minus"] <= -threshold)
 
-            return F.filter(F.transform(starts, best), lambda r: r["minus"] <= -threshold)
+            return let(places, lambda all_places: let(let(ranked, starts_of), best(all_places)))
 
-        return _blocks(pairs, places, t, from_starts)
+        return let(F.transform(pairs, lambda x: F.array_contains(t["bigrams"], x)), of)
 
     def apart(runs: Column) -> Column:
         """Of overlapping runs one, from the left."""
@@ -177,12 +194,12 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), APART, " ")
     cell = lambda part, at: F.struct(F.array_remove(F.split(part, "[ \n]+"), "").alias("w"), at.cast("int").alias("at"))
 
-    def hits_of(w: Column, pairs: Column, places: Column, may: Column) -> Column:
+    def hits_of(w: Column, pairs: Column, may: Column) -> Column:
         lines = F.transform(F.split(text, "\n"), lambda x, i: cell(x, i + 1))
         units = F.filter(F.concat(F.array(F.struct(w.alias("w"), F.lit(0).alias("at"))), lines), lambda u: F.size(u["w"]) - 1 >= least)
         hits = F.filter(F.transform(units, lambda u: scored(u, may)), lambda x: x["minus"] <= -threshold)
         line = F.flatten(F.transform(lines, lambda x: F.array_repeat(x["at"], F.size(x["w"]))))
-        runs = apart(F.flatten(F.transform(may, lambda t: runs_of(t, pairs, places))))
+        runs = apart(let(_earlier(pairs), lambda earlier: F.flatten(F.transform(may, lambda t: runs_of(t, pairs, earlier)))))
 
         def with_runs(hits: Column) -> Column:
             def own(line: Column) -> Column:
@@ -197,7 +214,7 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
         def from_places(places: Column) -> Column:
             held = F.array_distinct(F.transform(places, lambda i: F.get(pairs, i)))
             may = let(held, lambda m: F.filter(table, lambda t: enough(F.size(m), t) & enough(F.size(F.array_intersect(t["bigrams"], m)), t)))
-            return let(may, lambda m: F.when(F.size(m) > 0, hits_of(w, pairs, places, m)))
+            return let(may, lambda m: F.when(F.size(m) > 0, hits_of(w, pairs, m)))
 
         marked = F.transform(pairs, lambda x, i: F.when(x.isin(any_of), i))
         return let(F.array_compact(marked), from_places)
