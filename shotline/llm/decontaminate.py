@@ -107,22 +107,35 @@ class Index:
             bits = max(16, int(np.ceil(np.log2(len(keys) * 16 + 1))))
             filled = np.zeros(1 << bits, bool)
             filled[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.tables.append((mask, salt, keys, at[order], filled, np.uint64(64 - bits)))
-
-    def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of equal seeds, piece by piece: in ``hashes``, and in the block's words."""
-        for mask, salt, keys, at, filled, shift in self.tables:
+            at = at[order]
+            # where the place before holds another seed, or another segment begins
+            lead = np.ones(len(at), bool)
+            lead[1:] = (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1) | np.isin(at[1:], self.first)
+            self.tables.append((mask, salt, keys, at, filled, np.uint64(64 - bits), keys[lead], at[lead]))
+
+    def hits(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of equal seeds, piece by piece: in ``hashes``, and in the block's words, and whether the hit stands for a run of hits.
+
+        Where a text repeats a seed from one word to the next, hits run along diagonals: a hit behind another one of its
+        diagonal tells nothing new and is left out, so repeated words cost as many hits as there are diagonals.
+        """
+        for mask, salt, keys, at, filled, shift, lead_keys, lead_at in self.tables:
             own = seeds(hashes, mask, salt)
+            again = np.zeros(len(own) + 1, bool)
+            again[1:-1] = own[1:] == own[:-1]
+            again[first[first < len(again)]] = False
             maybe = np.flatnonzero(filled[(own >> shift).astype(np.int64)])
-            low, high = (np.searchsorted(keys, own[maybe], side) for side in ("left", "right"))
-            many = high - low
-            upto = np.cumsum(many)
-            begin = 0
-            while begin < len(maybe):
-                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
-                n = many[begin:end]
-                yield np.repeat(maybe[begin:end], n), at[np.repeat(low[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                begin = end
+            for places, known, where in ((maybe[~again[maybe]], keys, at), (maybe[again[maybe]], lead_keys, lead_at)):
+                low, high = (np.searchsorted(known, own[places], side) for side in ("left", "right"))
+                many = high - low
+                upto = np.cumsum(many)
+                begin = 0
+                while begin < len(places):
+                    end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+                    n = many[begin:end]
+                    p = np.repeat(places[begin:end], n)
+                    yield p, where[np.repeat(low[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())], again[p] | again[p + 1]
+                    begin = end
 
 
 def _agree(index: Index, hashes: np.ndarray, first: np.ndarray, p: np.ndarray, q: np.ndarray, text: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -141,12 +154,13 @@ def _agree(index: Index, hashes: np.ndarray, first: np.ndarray, p: np.ndarray, q
 
 
 def overlaps(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, segment, begin, end, matched, item words) of the best overlap of each text with each segment."""
+    """(text, segment, begin, end, matched, item words) of the best overlap of each text with each segment; of equal ones the last."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: set[tuple[int, int, int]] = set()
-    for p, q in index.hits(hashes):
+    for p, q, run in index.hits(hashes, first):
         text, segment = np.searchsorted(first, p, "right") - 1, np.searchsorted(index.first, q, "right") - 1
-        near = _agree(index, hashes, first, p, q, text, segment)
+        near = run.copy()
+        near[~run] = _agree(index, hashes, first, p[~run], q[~run], text[~run], segment[~run])
         for t, s, shift in np.unique(np.stack([text, segment, p - q])[:, near], axis=1).T.tolist():
             if (t, s, shift) in done:
                 continue
