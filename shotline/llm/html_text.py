@@ -6,8 +6,9 @@ lines of a textarea stand on lines of their own; formulas and the text of drawin
 so a scan needs no shuffle and its memory is that of one page. The tokenizer is linear in the page, whatever it holds.
 
 Defined results: null or empty HTML gives an empty text; broken markup is repaired as browsers do in the common cases
-and never raises; nesting past ``DEEPEST`` is flattened, but what is hidden there stays hidden; a table whose alignment would add more than ``MOST_PADDING``
-characters keeps its text but not all its columns in line; repeated rows are rendered each; an empty table gives none.
+and never raises; nesting past ``DEEPEST`` is flattened, but what is hidden there stays hidden; alignment of a page's tables
+adds at most ``PADDING`` characters for each of the page and ``SPARE`` more: a table that would pass that has columns of at most ``NARROW``, and
+if that is too much, cells that follow each other without padding, all text kept; columns in which no cell begins or ends have no width; repeated rows are rendered each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEEPEST = 200
-MOST_PADDING = 10_000_000  # blanks and held cells that one table may add; past it, columns are at most NARROW wide
+PADDING, SPARE = 100, 1_000_000  # characters that aligning tables may add to a page, for each of its own and in all
+MOST_HELD = 500_000  # cells that one table may hold free below others; past it, rows below take them
 NARROW = 40
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -403,45 +405,70 @@ def _table(table: _Element, depth: int) -> list[str]:
                 above.extend(inner.done())
 
     collect(table, 0)
-    placed = []  # the cells of each row as (column, lines, span), those held from above without lines
-    held: dict[int, float] = {}  # columns and how many more rows of their group they are taken in
+    placed = []  # the cells of each row as (column, lines, span), columns that are held from above one by one and without lines
+    held: list[tuple[int, int, float]] = []  # columns from one on, and how many more rows of their group they are taken in
     before, n_held = None, 0
     for cells, group in rows:
         n_held += len(held)
-        if group != before or n_held > MOST_PADDING // 20:
-            held, before = {}, group
-        row, at, kept = [(c, [], 1) for c in held], 0, {c: n - 1 for c, n in held.items() if n > 1}
+        if group != before or n_held > MOST_HELD:
+            held, before = [], group
+        row, at, k = [(c, None, span) for c, span, _ in held], 0, 0
+        kept = [(c, span, n - 1) for c, span, n in held if n > 1]
         for lines, span, down in cells:
-            while at in held:
-                at += 1
+            while k < len(held) and held[k][0] <= at:
+                at = max(at, held[k][0] + held[k][1])
+                k += 1
             row.append((at, lines, span))
             if down > 1:
-                kept |= {at + j: down - 1 for j in range(span)}
+                kept.append((at, span, down - 1))
             at += span
         placed.append(sorted(row, key=lambda c: c[0]))
-        held = kept
-    width: dict[int, int] = {}
+        held = sorted(kept)
+    # only columns in which some cell begins or ends are columns
+    edges = {x: k for k, x in enumerate(sorted({0} | {x for row in placed for at, _, span in row for x in (at, at + span)}))}
+    placed = [[(edges[at], lines, edges[at + span] - edges[at]) for at, lines, span in row] for row in placed]
+    placed = [[x for at, lines, span in row for x in ([(at, lines, span)] if lines is not None else [(j, [], 1) for j in range(at, at + span)])] for row in placed]
+    width = [0] * len(edges)
     for row in placed:
         for at, lines, span in row:
             if span == 1:
-                width[at] = max([width.get(at, 0), *map(len, lines)])
-    if sum(width.values()) * sum(max((len(lines) for _, lines, _ in row), default=0) for row in placed) > MOST_PADDING:
-        width = {c: min(n, NARROW) for c, n in width.items()}
+                width[at] = max([width[at], *map(len, lines)])
+    aligned = _affordable(width, placed)
     out = list(above)
     for row in placed:
         if not any(lines for _, lines, _ in row):
             continue
         for k in range(max(len(lines) for _, lines, _ in row)):
+            if not aligned:
+                out.append(" | ".join(lines[k] if k < len(lines) else "" for _, lines, _ in row if lines).rstrip(" "))
+                continue
             line, next_at = [], 0
             for at, lines, span in row:
-                line += ["".ljust(width.get(j, 0)) for j in range(next_at, at)]
-                room = sum(width.get(at + j, 0) for j in range(span)) + 3 * (span - 1)
+                line += ["".ljust(aligned[j]) for j in range(next_at, at)]
+                room = sum(aligned[at : at + span]) + 3 * (span - 1)
                 line.append((lines[k] if k < len(lines) else "").ljust(room))
                 next_at = max(next_at, at + span)
             out.append(" | ".join(line).rstrip(" "))
     return out
 
 
+_left = [SPARE]  # characters that aligning tables may still add to the page that is rendered
+
+
+def _affordable(width: list[int], placed: list[list[tuple[int, list[str], int]]]) -> list[int] | None:
+    """Column widths whose padding the page can still afford, taken from what is left; None where there are none."""
+    for widest in (max(width, default=0), NARROW):
+        widths = [min(n, widest) for n in width]
+        upto = [0]
+        for n in widths:
+            upto.append(upto[-1] + n + 3)
+        added = sum(upto[row[-1][0]] * max((len(lines) for _, lines, _ in row), default=0) for row in placed if row)
+        if added <= _left[0]:
+            _left[0] -= added
+            return widths
+    return None
+
+
 def _wrapped(e: _Element) -> _Element:
     out = _Element("div", {})
     out.children = [e]
@@ -452,6 +479,7 @@ def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
+    _left[0] = PADDING * len(page) + SPARE
     out = _Out()
     _flow(parse(page), out)
     return "\n".join(out.done()).strip("\n")
