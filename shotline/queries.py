@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .motion_sql import motion, pair_numbers
 from .operators import pixels
 from .operators.buffers import held_at, pool_stats, ring
 from .operators.fold import fold_chunks, fold_cuts, with_streaks
@@ -316,18 +317,23 @@ def texture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pixels(spark, sf_dir).select(F.col("label").cast("string").alias("video_id"), number.alias("frame_number"), "px").mapInArrow(_textured, FRAMES)
 
 
-@query()
+# the pictures' search as a recursive query over groups and displacements, apart from the kernel
+_MOTION = motion(_UNNEST, "128")
+_TEXTURE_SCENES = "(SELECT video_id, frame_number, frame_number / CAST(25 AS DOUBLE) AS timestamp FROM f WHERE cut UNION ALL SELECT DISTINCT label::VARCHAR, 0, CAST(0 AS DOUBLE) FROM embeddings)"
+
+
+@query(f"WITH RECURSIVE {_MOTION}, {pair_numbers()} SELECT * FROM scores")
 def texture_video_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_frames(texture_frames(spark, sf_dir), frame_bytes=160 * 160, chunk_bytes=4 << 20)
 
 
-@query()
+@query(f"{_folded('scores').replace('WITH RECURSIVE', f'WITH RECURSIVE {_MOTION}, {pair_numbers()},', 1)} SELECT video_id, frame_number, timestamp, {_TIMECODE.format('timestamp')} AS timecode, CAST(NULL AS DOUBLE) AS confidence FROM {_TEXTURE_SCENES}")
 def texture_video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = texture_frames(spark, sf_dir)
     return scenes_of(fold_cuts(texture_video_scores(spark, sf_dir)), frames.drop("data"), frames.select("video_id").distinct())
 
 
-@query()
+@query(f"WITH RECURSIVE {_MOTION} SELECT * FROM blocks")
 def texture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block rows of the pairs of every video."""
     pairs = texture_frames(spark, sf_dir).withColumns(previous(("data",))).filter("prev_data IS NOT NULL")
