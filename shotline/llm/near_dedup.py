@@ -12,7 +12,8 @@
    that shares any rare shingle shares one among the rarest ``n - ceil(t n) + 1`` of both. A pair without one shares at
    most the ``c`` other shingles of either, so it can reach the similarity ``t`` only if ``c >= t n`` in both and
    ``c >= 2 t / (1 + t) n`` in one of the two; those few are further centres of their buckets, those with the fewest
-   rare shingles first, which leave them when they have met all. No pair that shares a bucket is passed over by this.
+   rare shingles first, which leave them when they have met all. No pair that shares a bucket is passed over by this; before
+   full sets are seen, pairs whose hash bytes agree less often than ``ALIKE`` under the similarity are turned away by that estimate.
 
 Texts are never shuffled: a second scan fetches the sets of documents that share a bucket. Nothing is collected to the driver
 but counts and a bitmap of bounded size.
