@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding, each written as Parquet and read again."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding, each written as Parquet and read again.
+
+Defined results: null, blank and short texts fall by the quality rules; of linked texts that of the smallest id stays, a row without
+an id is linked with nothing and stays; rows that repeat id and text count once from near_dedup on; a null source is a source of its
+own; further columns pass through untouched, but none may be called shard; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -49,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sharding", sharding),
 ]
 
-#: SQL can't express Newton's iterations; tests hold run() against a brute-force version.
+#: SQL can't express Newton's iterations; test_run_equals_brute_force holds run() against one: exact rows up to mixing, then targets and shards.
 ORACLE_SQL = None
 
 
