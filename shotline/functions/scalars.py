@@ -111,7 +111,8 @@ def progress_bar(pct: Column, cells: int = 30) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.2f", size / 1048576.0)
+    """Two decimals of the exact value, ties to even as C's and DuckDB's printf has them; ``format_string`` rounds ties up."""
+    return F.call_function("format_number", size / 1048576.0, F.lit("0.00"))
 
 
 def js_number(x: Column) -> Column:
@@ -132,7 +133,7 @@ SQL_FUNCTIONS = {
     "shot_percent": ("at BIGINT, total BIGINT", "floor(100.0D * at / nullif(total, 0) + 0.5D)"),
     "shot_eta": ("at BIGINT, total BIGINT, elapsed DOUBLE", "CASE WHEN at > 0 AND elapsed > 0 THEN (total - at) / (at / elapsed) END"),
     "shot_is_cut": ("intra INT, score INT, s INT", "coalesce(intra > 2000 + CASE WHEN s > 0 AND s < 10 THEN 15 * (10 - s) * (10 - s) ELSE 0 END, false) OR score > 90 + CASE WHEN s > 0 AND s < 30 THEN 4 * (30 - s) ELSE 0 END"),
-    "shot_megabytes": ("bytes BIGINT", "format_string('%.2f', bytes / 1048576.0D)"),
+    "shot_megabytes": ("bytes BIGINT", "format_number(bytes / 1048576.0D, '0.00')"),
 }
 _RETURNS = {"shot_timecode": "STRING", "shot_threshold": "INT", "shot_score_threshold": "INT", "shot_percent": "BIGINT", "shot_eta": "DOUBLE", "shot_is_cut": "BOOLEAN", "shot_megabytes": "STRING"}
 

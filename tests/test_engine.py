@@ -265,3 +265,13 @@ def test_command_line_output(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["a.y4m", "-v", "-s", "anything"]) == 0
     out = capsys.readouterr().out
     assert (tmp_path / "a_keyframes.txt").read_text().startswith("# keyframe format v1") and "MB" in out and "Scene 1: Frame" in out and "Scenes detected:" in out
+
+
+def test_megabytes_round_ties_to_even(spark):
+    """Event 131072 is the first whose megabytes of ``console_text`` lie on a tie; DuckDB's printf is the measure."""
+    sizes = [131072 * k * 12345 for k in (1, 2, 3, 5, 7)] + [0, 1, 5243, 1048576 * 3 + 131072, 10**15, 2**53 + 131072]
+    S.register(spark)
+    rows = spark.createDataFrame([(s,) for s in sizes], "n long").select("n", S.megabytes(F.col("n")).alias("text"), F.expr("shot_megabytes(n)").alias("named")).collect()
+    for n, text, named in rows:
+        assert text == named == duckdb.execute("SELECT printf('%.2f', ? / CAST(1048576 AS DOUBLE))", [n]).fetchone()[0]
+    assert spark.range(1).select(S.megabytes(F.lit(None).cast("long"))).first()[0] is None
