@@ -1,13 +1,14 @@
 """Sampling, validation, pairing and scoring of frames.
 
-Frame bytes are the only heavy column, so they are read once and move at most once. ``score_frames`` deals frames to chunks of bounded
-size and sends a chunk's last frame along with the next chunk, which replaces a sort of all frames by video: a task
-holds one chunk, a long video is many chunks, and what leaves the kernel is two integers a frame.
+Frame bytes are the only heavy column, so they are read once and move at most once, and not at all where they are made from
+less (``picture``). ``score_frames`` deals frames to chunks of bounded size and sends a chunk's last frame along with the next chunk: a long
+video is many chunks. A task's chunks come in order and are scored as one run of rows, a bounded number at once whatever chunks they are of, and what
+leaves the kernel is two integers a frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCKS, PAIR_SCORES
-from .kernel import analyse, pair_numbers
+from .kernel import EDGE, analyse, pair_numbers
 
 MOST_SIDE = 8192
 SPREAD = 4  # partitions of chunks for each shuffle partition
@@ -60,12 +61,17 @@ def _pictures(data: list[bytes], width: int, height: int, stride: list[int | Non
         if d is None or len(d) < s * (height - 1) + width:
             raise ValueError("frame data is empty or shorter than its picture")
         raw = np.frombuffer(d, np.uint8)
-        out[k] = np.lib.stride_tricks.as_strided(raw, (height, width), (s, 1), writeable=False)
+        out[k] = raw[: s * height].reshape(height, s)[:, :width] if len(d) >= s * height else np.lib.stride_tricks.as_strided(raw, (height, width), (s, 1), writeable=False)
     return out
 
 
-def _batches(width: int, height: int, n: int, pixels: int = 24_000_000) -> Iterator[tuple[int, int]]:
-    step = max(1, pixels // max(1, width * height))
+def _at_once(width: int, height: int, pixels: int = 24_000_000) -> int:
+    """Pairs that the kernel takes at once, by the size of the padded picture, which for small ones is most of it."""
+    return max(1, pixels // ((max(0, width) + 2 * EDGE) * (max(0, height) + 2 * EDGE)))
+
+
+def _batches(width: int, height: int, n: int) -> Iterator[tuple[int, int]]:
+    step = _at_once(width, height)
     for at in range(0, n, step):
         yield at, min(n, at + step)
 
@@ -95,36 +101,60 @@ def code_for(search_range: str, width: int, height: int) -> int:
     return {"small": 2, "large": 6}.get(search_range, 4)
 
 
-def _score_chunk(search_range: str, step: int, times: bool):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("frame_number", "ascending")])
-        number = table["frame_number"].to_pylist()
-        chunk = key[1].as_py()
-        if chunk and table["halo"].to_pylist().count(True) != 1:
-            raise ValueError(f"video {key[0].as_py()}: no frame comes just before number {number[0]}; numbers must be without gaps")
-        if any(b - a != step for a, b in zip(number, number[1:], strict=False)):
-            raise ValueError(f"video {key[0].as_py()}: frame numbers {number[0]} to {number[-1]} have gaps or repeat")
-        sizes = {(w, h) for w, h in zip(table["width"].to_pylist(), table["height"].to_pylist(), strict=True)}
-        if len(sizes) > 1:
-            raise ValueError(f"video {key[0].as_py()}: a frame and its predecessor differ in size: {sorted(sizes)}")
-        (w, h), n = next(iter(sizes)), len(number)
-        pictures = _pictures(table["data"].to_pylist(), w, h, table["stride"].to_pylist())
-        keys, scores, _ = _scored(pictures[1:], pictures[:-1], code_for(search_range, w, h), False)
-        columns = [pa.array([key[0].as_py()] * (n - 1), pa.string()), pa.array(number[1:], pa.int64()), pa.array(keys, pa.int32()), pa.array(scores, pa.int32())]
-        names = ["video_id", "frame_number", "intra_key", "ssad_score"]
-        if times:
-            columns.append(table["pts"].slice(1))
-            names.append("pts")
-        return pa.Table.from_arrays(columns, names=names)
+def _same_side(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of one width and height, and of no more rows than the kernel takes pairs at once."""
+    sides = list(zip(batch["width"].to_pylist(), batch["height"].to_pylist(), strict=True))
+    at = 0
+    while at < len(sides):
+        w, h = sides[at]
+        end, most = at + 1, at + _at_once(w or 0, h or 0)
+        while end < min(most, len(sides)) and sides[end] == (w, h):
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _score_chunks(search_range: str, step: int, times: bool):
+    """Scores of rows that come sorted by video, chunk and number: each row against the one before it, if that is of its chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # video, chunk, number, side and picture of the row before
+        for part in (p for batch in batches for p in _same_side(batch)):
+            video, chunk, number, halo = (part[c].to_pylist() for c in ("video_id", "chunk", "frame_number", "halo"))
+            side = (part["width"][0].as_py(), part["height"][0].as_py())
+            before = last[:3] if last else None
+            goes_on = []
+            for k, (v, c, at) in enumerate(zip(video, chunk, number, strict=True)):
+                goes_on.append(before is not None and (v, c) == before[:2])
+                if not goes_on[k]:
+                    if c and not halo[k]:
+                        raise ValueError(f"video {v}: no frame comes just before number {at}; numbers must be without gaps")
+                elif at - before[2] != step:
+                    raise ValueError(f"video {v}: frame numbers {before[2]} to {at} have gaps or repeat")
+                elif k == 0 and last[3] != side:
+                    raise ValueError(f"video {v}: a frame and its predecessor differ in size: {sorted((last[3], side))}")
+                before = (v, c, at)
+            pictures = _pictures(part["data"].to_pylist(), *side, part["stride"].to_pylist())
+            pairs = np.flatnonzero(goes_on)
+            if len(pairs):
+                prev = pictures[pairs - 1]
+                if pairs[0] == 0:
+                    prev[0] = last[4]
+                keys, scores = scores_of(pictures[pairs], prev, code_for(search_range, *side))
+                names = ["video_id", "frame_number"] + ["pts"] * times
+                told = [part[c].take(pa.array(pairs)) for c in names]
+                yield pa.RecordBatch.from_arrays([*told[:2], pa.array(keys, pa.int32()), pa.array(scores, pa.int32()), *told[2:]], [*names[:2], "intra_key", "ssad_score", *names[2:]])
+            last = (*before, side, pictures[-1].copy())
 
     return run
 
 
-def score_frames(frames: DataFrame, search_range: str = "medium", skip: int = 0, chunk_bytes: int = 64 << 20, frame_bytes: int | None = None, times: bool = False) -> DataFrame:
+def score_frames(frames: DataFrame, search_range: str = "medium", skip: int = 0, chunk_bytes: int = 64 << 20, frame_bytes: int | None = None, times: bool = False, picture: Callable[[Column], Column] | None = None) -> DataFrame:
     """(video_id, frame_number, intra_key, ssad_score) of every kept frame but a video's first; with ``times`` also its pts.
 
     Frames of a video are numbered from 0 without gaps. A chunk stays within ``chunk_bytes``, or two frames; the bytes of
-    a frame are ``frame_bytes``, else each frame's rows by its stride, so no scan looks for the largest.
+    a frame are ``frame_bytes``, else each frame's rows by its stride, so no scan looks for the largest. With ``picture``,
+    ``data`` is what a frame's bytes are made from, by this expression, after frames are dealt.
     """
     kept = sample(frames, skip)
     own_bytes = F.lit(frame_bytes) if frame_bytes else F.coalesce("stride", "width").cast("long") * F.col("height")
@@ -133,15 +163,26 @@ def score_frames(frames: DataFrame, search_range: str = "medium", skip: int = 0,
     own = F.floor(place / size)
     homes = F.when((place + 1) % size == 0, F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo")), F.struct((own + 1).alias("chunk"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo"))))
     pts = [F.col("pts").cast("double").alias("pts")] if times else []
-    dealt = kept.select("video_id", "frame_number", "width", "height", "stride", "data", *pts, F.inline(homes))
-    # a chunk is seconds of work: more partitions than usual, so that few tasks get several chunks while others have none
+    dealt = kept.select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "width", "height", "stride", "data", *pts, F.inline(homes))
+    dealt = dealt.repartition(_parts(frames), "video_id", "chunk").sortWithinPartitions("video_id", "chunk", "frame_number")
+    return _unpacked(dealt, picture).mapInArrow(_score_chunks(search_range, skip + 1, times), PAIR_SCORES + ", pts double" * times)
+
+
+def _parts(frames: DataFrame) -> int:
+    """A chunk is seconds of work: more partitions than usual, so that few tasks get several chunks while others have none."""
     spark = frames.sparkSession
-    parts = SPREAD * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return dealt.repartition(parts, "video_id", "chunk").groupBy("video_id", "chunk").applyInArrow(_score_chunk(search_range, skip + 1, times), PAIR_SCORES + ", pts double" * times)
+    return SPREAD * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
 
+def _unpacked(frames: DataFrame, picture: Callable[[Column], Column] | None, columns: tuple[str, ...] = ("data",)) -> DataFrame:
+    return frames.withColumns({c: picture(F.col(c)) for c in columns}) if picture else frames
 
-def score_pairs(pairs: DataFrame, code: int = 4, blocks: bool = False) -> DataFrame:
-    """Scores, or block rows, of arbitrary pairs with columns video_id, frame_number, width, height, prev_data, data."""
+
+def score_pairs(pairs: DataFrame, code: int = 4, blocks: bool = False, picture: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Scores, or block rows, of arbitrary pairs with columns video_id, frame_number, width, height, prev_data, data.
+
+    With ``picture``, both data are what bytes are made from, by this expression, after pairs are dealt evenly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,6 +204,8 @@ def score_pairs(pairs: DataFrame, code: int = 4, blocks: bool = False) -> DataFr
                         yield pa.RecordBatch.from_arrays([pa.array([video[f] for f in b["f"]], pa.string()), pa.array([number[f] for f in b["f"]], pa.int64()), pa.array(b["x"], pa.int32()), pa.array(b["y"], pa.int32()), mv, pa.array(b["sad"], pa.int32()), pa.array(b["dev"], pa.int32())], names)
 
     own = pairs.select("video_id", F.col("frame_number").cast("long").alias("frame_number"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "prev_data", "data")
+    if picture:
+        own = _unpacked(own.repartition(_parts(pairs), "video_id", "frame_number"), picture, ("prev_data", "data"))
     return own.mapInArrow(run, BLOCKS if blocks else PAIR_SCORES)
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -16,7 +14,6 @@ from .operators.buffers import held_at, pool_stats, ring
 from .operators.fold import fold_chunks, fold_cuts, with_streaks
 from .operators.pairs import code_for, frame_problem, numbers_of_blocks, previous, sample, score_frames, score_pairs
 from .plans.detect import progress, scenes_of
-from .schema import FRAMES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,18 +300,23 @@ def flat_video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes_of(cuts, frames.drop("data"), frames.select("video_id").distinct()).drop("confidence")
 
 
-def _textured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        video, number, px = (batch.column(k).to_pylist() for k in range(3))
-        data = [np.kron(np.array(p, np.uint8).reshape(8, 8), np.ones((20, 20), np.uint8)).tobytes() for p in px]
-        side = pa.array([160] * len(video), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(video), pa.array(number, pa.int64()), pa.array([n / 25 for n in number]), side, side, side, pa.array(data, pa.binary())], FRAMES.names)
+def _byte(x: Column) -> Column:
+    return F.lpad(F.hex(x), 2, "0")
 
 
-def texture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A video for each label: its vectors in order as 8 by 8 tiles of 20 pixels."""
+def texture_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video for each label, its vectors in order; ``data`` are the bytes of their 8 by 8 tiles, of which ``textured`` makes the picture."""
     number = F.expr("row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1").cast("long")
-    return _pixels(spark, sf_dir).select(F.col("label").cast("string").alias("video_id"), number.alias("frame_number"), "px").mapInArrow(_textured, FRAMES)
+    tiles = _pixels(spark, sf_dir).select("vec_id", "label", F.unhex(F.array_join(F.transform("px", _byte), "")).alias("data"))
+    side = [F.lit(160).alias(c) for c in ("width", "height", "stride")]
+    return tiles.select(F.col("label").cast("string").alias("video_id"), number.alias("frame_number"), "data").select("video_id", "frame_number", S.pts(F.col("frame_number"), F.lit(25.0)).alias("pts"), *side, "data")
+
+
+def textured(tiles: Column) -> Column:
+    """A picture of 160 by 160 pixels from 8 by 8 bytes: each is a tile of 20 by 20."""
+    eight = F.sequence(F.lit(0), F.lit(7))
+    row = lambda r: F.array_join(F.transform(eight, lambda c: F.repeat(F.substring(F.hex(tiles), 16 * r + 2 * c + 1, F.lit(2)), 20)), "")
+    return F.unhex(F.array_join(F.transform(eight, lambda r: F.repeat(row(r), 20)), ""))
 
 
 # the pictures' search as a recursive query over groups and displacements, apart from the kernel
@@ -324,18 +326,23 @@ _TEXTURE_SCENES = "(SELECT video_id, frame_number, frame_number / CAST(25 AS DOU
 
 @query(f"WITH RECURSIVE {_MOTION}, {pair_numbers()} SELECT * FROM scores")
 def texture_video_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_frames(texture_frames(spark, sf_dir), frame_bytes=160 * 160, chunk_bytes=4 << 20)
+    return _texture_scores(spark, sf_dir).drop("pts")
+
+
+def _texture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_frames(texture_tiles(spark, sf_dir), frame_bytes=160 * 160, chunk_bytes=4 << 20, times=True, picture=textured)
 
 
 @query(f"{_folded('scores').replace('WITH RECURSIVE', f'WITH RECURSIVE {_MOTION}, {pair_numbers()},', 1)} SELECT video_id, frame_number, timestamp, {_TIMECODE.format('timestamp')} AS timecode, CAST(NULL AS DOUBLE) AS confidence FROM {_TEXTURE_SCENES}")
 def texture_video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = texture_frames(spark, sf_dir)
-    return scenes_of(fold_cuts(texture_video_scores(spark, sf_dir)), frames.drop("data"), frames.select("video_id").distinct())
+    videos = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("video_id")).distinct()
+    return scenes_of(fold_cuts(_texture_scores(spark, sf_dir), carry=("pts",)), None, videos)
 
 
 @query(f"WITH RECURSIVE {_MOTION} SELECT * FROM blocks")
 def texture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block rows of the pairs of every video."""
-    pairs = texture_frames(spark, sf_dir).withColumns(previous(("data",))).filter("prev_data IS NOT NULL")
+    frames = texture_tiles(spark, sf_dir).withColumn("data", textured(F.col("data")))
+    pairs = frames.withColumns(previous(("data",))).filter("prev_data IS NOT NULL")
     rows = score_pairs(pairs, code_for("medium", 160, 160), blocks=True)
     return rows.select("video_id", "frame_number", "mb_x", "mb_y", F.col("mv.x").alias("mv_x"), F.col("mv.y").alias("mv_y"), "sad16", "dev")

@@ -3,10 +3,12 @@ import os
 import shutil
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ import __spark_entry__
 from shotline import cli, queries, sinks
 from shotline.functions import scalars as S
 from shotline.operators.fold import fold_cuts
-from shotline.operators.pairs import pair_frames, score_frames, score_pairs, validate
+from shotline.operators.pairs import _score_chunks, pair_frames, score_frames, score_pairs, scores_of, validate
 from shotline.options import Options
 from shotline.plans import detect, detect_scene_changes
 from shotline.schema import FRAMES
@@ -275,3 +277,39 @@ def test_megabytes_round_ties_to_even(spark):
     for n, text, named in rows:
         assert text == named == duckdb.execute("SELECT printf('%.2f', ? / CAST(1048576 AS DOUBLE))", [n]).fetchone()[0]
     assert spark.range(1).select(S.megabytes(F.lit(None).cast("long"))).first()[0] is None
+
+
+def test_scoring_takes_bounded_memory(spark):
+    """What the kernel holds goes by the padded picture, of which a small frame is the least part: 2,000 pairs of 64 by 64 took over 200 MB at once."""
+    pictures = np.repeat(np.arange(2001) * 7 % 200, 64 * 64).astype(np.uint8).reshape(-1, 64, 64)
+    tracemalloc.start()
+    keys, scores = scores_of(pictures[1:], pictures[:-1], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    steps = np.abs(np.diff(np.arange(2001) * 7 % 200))
+    assert keys == (256 * steps).tolist() and scores == (1024 * steps // 89).tolist()
+    assert peak < 100e6
+
+
+def test_runs_of_rows_do_not_change_scores():
+    """Videos of several sizes and chunks in one task, cut into batches at every place."""
+    shapes, rows, want = {"a": (96, 112), "b": (64, 64), "c": (96, 112)}, [], []
+    for video, (h, w) in shapes.items():
+        pictures = clip(7, h, w, seed=len(rows))
+        for k, p in enumerate(pictures):
+            homes = [(k // 3, False)] + [(k // 3 + 1, True)] * (k % 3 == 2)
+            rows += [(video, c, k, halo, w, h, w, p.tobytes()) for c, halo in homes]
+        want += [(video, *e) for e in expected(pictures)]
+    names = ["video_id", "chunk", "frame_number", "halo", "width", "height", "stride", "data"]
+    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in sorted(rows)])
+    for size in (1, 2, 5, len(rows)):
+        got = [tuple(r.values()) for b in _score_chunks("medium", 1, False)(iter(table.combine_chunks().to_batches(size))) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("name", ["texture_video_scores", "texture_video_scenes"])
+def test_pictures_are_made_beside_the_kernel(spark, name):
+    """Tiles of 64 bytes are sorted and shuffled, not pictures of 25,600; one window, one Python worker a task."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    python, made = plan.index("MapInArrow"), plan.index("unhex(array_join(")
+    assert python < made < plan.index("Exchange", python) and plan.count("InArrow") == 1 and plan.count("Window [") == 1
