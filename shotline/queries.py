@@ -294,10 +294,10 @@ _FLAT = f"(SELECT video_id, frame_number, 256 * d AS intra_key, 1024 * d // 89 A
 @query(f"{_folded(_FLAT)} SELECT video_id, frame_number, timestamp, {_TIMECODE.format('timestamp')} AS timecode FROM {_SCENES}")
 def flat_video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat 64 by 64 frames through the real kernel; the scores of a step of D are known: 256 D and 1024 D / 89."""
-    byte = F.lpad(F.hex("luma"), 2, "0")
-    frames = _luma(spark, sf_dir).select("video_id", "frame_number", S.pts(F.col("frame_number"), F.lit(25.0)).alias("pts"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit(64).alias("stride"), F.unhex(F.repeat(byte, 64 * 64)).alias("data"))
-    cuts = fold_cuts(score_frames(frames, frame_bytes=64 * 64, chunk_bytes=1 << 20))
-    return scenes_of(cuts, frames.drop("data"), frames.select("video_id").distinct()).drop("confidence")
+    frames = _luma(spark, sf_dir).select("video_id", "frame_number", S.pts(F.col("frame_number"), F.lit(25.0)).alias("pts"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit(64).alias("stride"), F.col("luma").alias("data"))
+    scores = score_frames(frames, frame_bytes=64 * 64, chunk_bytes=1 << 20, times=True, picture=lambda luma: F.unhex(F.repeat(_byte(luma), 64 * 64)))
+    videos = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id")).distinct()
+    return scenes_of(fold_cuts(scores, carry=("pts",)), None, videos).drop("confidence")
 
 
 def _byte(x: Column) -> Column:

@@ -313,3 +313,10 @@ def test_pictures_are_made_beside_the_kernel(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     python, made = plan.index("MapInArrow"), plan.index("unhex(array_join(")
     assert python < made < plan.index("Exchange", python) and plan.count("InArrow") == 1 and plan.count("Window [") == 1
+
+
+def test_flat_frames_are_made_beside_the_kernel(spark):
+    """The window over events and the kernel run once; a frame is shuffled as one number and its bytes are made after that."""
+    plan = queries.QUERIES["flat_video_scenes"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    python, made = plan.index("MapInArrow"), plan.index("unhex(repeat")
+    assert python < made < plan.index("Exchange", python) and plan.count("InArrow") == 1 and plan.count("Window [") == 1 and "Join" not in plan
