@@ -342,7 +342,6 @@ def texture_video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_MOTION} SELECT * FROM blocks")
 def texture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block rows of the pairs of every video."""
-    frames = texture_tiles(spark, sf_dir).withColumn("data", textured(F.col("data")))
-    pairs = frames.withColumns(previous(("data",))).filter("prev_data IS NOT NULL")
-    rows = score_pairs(pairs, code_for("medium", 160, 160), blocks=True)
+    pairs = texture_tiles(spark, sf_dir).withColumns(previous(("data",))).filter("prev_data IS NOT NULL")
+    rows = score_pairs(pairs, code_for("medium", 160, 160), blocks=True, picture=textured)
     return rows.select("video_id", "frame_number", "mb_x", "mb_y", F.col("mv.x").alias("mv_x"), F.col("mv.y").alias("mv_y"), "sad16", "dev")

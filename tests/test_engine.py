@@ -320,3 +320,12 @@ def test_flat_frames_are_made_beside_the_kernel(spark):
     plan = queries.QUERIES["flat_video_scenes"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     python, made = plan.index("MapInArrow"), plan.index("unhex(repeat")
     assert python < made < plan.index("Exchange", python) and plan.count("InArrow") == 1 and plan.count("Window [") == 1 and "Join" not in plan
+
+
+def test_blocks_pair_tiles_and_deal_pairs(spark):
+    """The window pairs tiles of 64 bytes; pairs are dealt to all tasks, not to one a label, and pictures made there."""
+    plan = queries.QUERIES["texture_blocks"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    python, made = plan.index("MapInArrow"), plan.index("unhex(array_join(")
+    assert python < made < plan.index("Exchange", python) < plan.index("Window [") and plan.count("InArrow") == 1
+    few = queries.QUERIES["texture_blocks"](spark, SF).select("video_id", F.spark_partition_id().alias("task")).distinct()
+    assert few.select("task").distinct().count() > 10
